@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, simhash
+from . import bpe, packing, quality_rules, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "__passages.n_words", "__passages.n_removed", F.sha2("__passages.kept", 256).alias("kept_sha256"))
+
+
 _RULES = " AND ".join(f"(n_words < {r.min_words} OR (CAST({r.measure} AS DOUBLE) >= CAST({r.least} AS DOUBLE) * {r.per} AND CAST({r.measure} AS DOUBLE) <= CAST({r.most} AS DOUBLE) * {r.per}))" for r in quality_rules.RULES)
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws.split()}))
 
