@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, simhash, substring
+from . import bpe, media, packing, quality_rules, secrets, simhash, substring, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Rules of the URL filter, and sites that it blocks besides.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+BLOCKED_SITES = [f"{site}.example.{top}" for site in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, BLOCKED_SITES)
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
@@ -39,6 +49,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+@query
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.stored(documents(spark, sf_dir)))
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.spans(documents(spark, sf_dir))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
@@ -82,3 +102,17 @@ m AS (
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND {_RULES} AS kept FROM f
 """
+
+_RULE_ROWS = ", ".join(f"('{k}', '{k.partition('/')[0]}', '{k[len(k.partition('/')[0]):]}', '{v}')" for k, v in URL_RULES.items())
+_SITES = ", ".join(f"('{h}')" for h in BLOCKED_SITES)
+
+SQL["op1_url_filter"] = rf"""
+WITH rules(rule, h, p, verdict) AS (VALUES {_RULE_ROWS}), sites(h) AS (VALUES {_SITES}),
+cut AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(.*?)://([^/?#]*)([^?#]*)', 2, 's') AS raw, regexp_extract(coalesce(url, ''), '^(.*?)://([^/?#]*)([^?#]*)', 3, 's') AS path FROM pages),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM cut),
+fit AS (SELECT u.page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+        FROM u JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY u.page_id),
+bad AS (SELECT DISTINCT u.page_id FROM u JOIN sites s ON u.host = s.h OR ends_with(u.host, '.' || s.h))
+SELECT u.page_id, u.host, u.path, fit.rule, coalesce(fit.verdict, CASE WHEN bad.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM u LEFT JOIN fit ON u.page_id = fit.page_id LEFT JOIN bad ON u.page_id = bad.page_id
+"""
