@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality_rules, secrets, simhash, substring, url_filters
+from . import bpe, html_extract, media, packing, quality_rules, secrets, simhash, substring, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+@query
+def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.stored(documents(spark, sf_dir)))
