@@ -1,14 +1,14 @@
 """BPE encoding by a pair occurrence index, and decoding.
 
-A partition's texts are cut at ASCII white space, which no token of the vocabulary spans; each distinct piece is
-encoded once. For the distinct pieces of a batch, the index maps every adjacent symbol pair that has a merge rank to
+A batch's texts are cut at ASCII white space, which no token of the vocabulary spans; each distinct piece is encoded
+once. For the distinct words of these, the index maps every adjacent symbol pair that has a merge rank to
 all its positions; a heap yields the active ranks in ascending order, and each merge updates the lists of the two
 pairs it makes. The result is that of merging the lowest-ranked, leftmost pair of each word again and again.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Texts that hold a special token's
 string give that token's id, as the library does by default. Rows are encoded one by one: repeated rows and ids, null
 ids and empty tables need no care, and columns besides doc_id and text are not read. The memory of a worker is bounded
-by ``CACHE`` pieces and one Arrow batch, whatever the input's size; nothing is shuffled.
+by ``CACHE`` pieces of some 30 bytes each and ``AT_ONCE`` bytes of text (or one text), whatever the input's size; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,20 +20,20 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
-from .common import texts
-
-#: Distinct pieces, and distinct words of them, that a worker remembers.
-CACHE = 800_000
+#: Distinct pieces that a worker remembers, and bytes of text that it takes at once.
+CACHE, AT_ONCE = 2_000_000, 8 << 20
 
 #: Pieces that normalising only lower-cases, and how such pieces fall into words.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-BLANK = re.compile(r"[\x20\x09-\x0d]+")
 
 
 def merge_pairs(words: list[list[int]], ranks: dict[int, tuple[int, int]]) -> list[list[int]]:
@@ -101,6 +101,39 @@ def merge_pairs(words: list[list[int]], ranks: dict[int, tuple[int, int]]) -> li
     return out
 
 
+def _hashed(strings: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, one after the other."""
+    done = np.cumsum(sizes)
+    return np.repeat(starts - (done - sizes), sizes) + np.arange(int(done[-1]) if len(done) else 0)
+
+
+class Store:
+    """Id sequences by 64-bit hash, in a few plain arrays."""
+
+    def __init__(self) -> None:
+        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each is known, where its ids start, and how many they are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.starts[at], self.sizes[at].astype(np.int64)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if not len(keys):
+            return
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.append(self.ids, ids).astype("<u4")
+        keys, starts, sizes = np.append(self.keys, keys), np.append(self.starts, starts), np.append(self.sizes, sizes)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.sizes = keys[order], starts[order], sizes[order].astype(np.int32)
+
+
 class Encoder:
     """Encodes and decodes as the library does with the vocabulary file ``path``.
 
@@ -125,8 +158,7 @@ class Encoder:
         self.ranks = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             self.ranks.setdefault(self.vocab[a] << 32 | self.vocab[b], (rank, self.vocab[a + b]))
-        self.known: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        self.known, self.merged = Store(), Store()  # of pieces and of words
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256 on
         others = [b for b in range(256) if b not in plain]
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
@@ -145,50 +177,70 @@ class Encoder:
             word = "".join(map(self.letter.__getitem__, word.encode()))
         return [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.end]]
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.merged) > CACHE:
-            self.merged.clear()
-        cut = [self.words(p) for p in pieces]
-        new = list({w: None for ws in cut for w in ws if w not in self.merged})
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, one after the other, and how many each has."""
+        hashes = _hashed(words)
+        _, firsts = np.unique(hashes, return_index=True)
+        firsts = firsts[~self.merged.find(hashes[firsts])[0]]
+        new = [words[i] for i in firsts.tolist()]
         if self.by_index:
             found = merge_pairs([self.symbols(w) for w in new], self.ranks)
         else:
             back = {c: b for b, c in self.letter.items()}
-            texts_ = [bytes(map(back.__getitem__, w[1:])).decode() if w[0] == "\0" else w for w in new]
-            found = [e.ids for e in self.library.encode_batch_fast(texts_, add_special_tokens=False)]
-        for w, ids in zip(new, found, strict=True):
-            self.merged[w] = np.array(ids, "<u4").tobytes()
-        for p, ws in zip(pieces, cut, strict=True):
-            self.known[p] = b"".join(map(self.merged.__getitem__, ws))
-
-    def encode(self, batch: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self._pieces(t) for t in batch]
-        step = 0
-        while step < len(cut):  # as many texts at a time as the memory of pieces allows
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new: dict[str, None] = {}
-            end = step
-            while end < len(cut) and (end == step or len(new) < CACHE // 4):
-                new.update((p, None) for p in cut[end] if p not in self.known)
-                end += 1
-            self.learn(list(new))
-            for pieces in cut[step:end]:
-                yield b"".join(map(self.known.__getitem__, pieces))
-            step = end
-
-    def _pieces(self, text: str) -> list[str]:
-        if not self.cut or not self.cut.search(text):
-            return BLANK.split(text)
-        out: list[str] = []
-        for part in self.cut.split(text):
-            if part in self.special:
-                self.known[" " + part] = np.array([self.special[part]], "<u4").tobytes()
-                out.append(" " + part)  # no piece begins with a space
-            else:
-                out += BLANK.split(part)
-        return out
+            plain = [bytes(map(back.__getitem__, w[1:])).decode() if w[0] == "\0" else w for w in new]
+            found = [e.ids for e in self.library.encode_batch_fast(plain, add_special_tokens=False)]
+        self.merged.add(hashes[firsts], np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+        _, starts, sizes = self.merged.find(hashes)
+        return self.merged.ids[_places(starts, sizes)], sizes
+
+    def encode(self, batch: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's ids, for an array of strings without nulls."""
+        ends = np.cumsum(np.asarray(pc.binary_length(batch), np.int64))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            part = batch.slice(at, end - at)
+            odd = self._special(part)
+            flat, stops = self._plain(part)
+            begin = 0
+            for i, stop in enumerate(stops.tolist()):
+                yield flat[begin:stop] if not odd[i] else self._cut(part[i].as_py())
+                begin = stop
+            at = end
+
+    def _plain(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and where each text's end, leaving special tokens aside."""
+        pieces = pc.ascii_split_whitespace(batch)
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        hashes = _hashed(distinct)
+        new = np.flatnonzero(~self.known.find(hashes)[0])
+        if len(new) + len(self.known.keys) > CACHE:
+            self.known, self.merged = Store(), Store()
+            new = np.arange(len(distinct))
+        cut = [self.words(distinct[i]) for i in new.tolist()]
+        ids, sizes = self.learn([w for ws in cut for w in ws])
+        per_piece = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))))]
+        self.known.add(hashes[new], np.diff(per_piece), ids)
+        _, starts, sizes = self.known.find(hashes)
+        which = np.asarray(coded.indices, np.int64)
+        sizes = sizes[which]
+        flat = self.known.ids[_places(starts[which], sizes)]
+        ends = np.append(0, np.cumsum(sizes))
+        return flat, ends[np.cumsum(np.asarray(pieces.value_lengths(), np.int64))]
+
+    def _special(self, batch: pa.Array) -> list[bool]:
+        odd = np.zeros(len(batch), bool)
+        for t in self.special:
+            odd |= np.asarray(pc.match_substring(batch, t).to_numpy(zero_copy_only=False), bool)
+        return odd.tolist()
+
+    def _cut(self, text: str) -> np.ndarray:
+        """The ids of a text with special tokens."""
+        parts = self.cut.split(text)
+        flat, ends = self._plain(pa.array(parts, pa.string()))
+        own = np.split(flat, ends[:-1])
+        return np.concatenate([np.array([self.special[t]], "<u4") if t in self.special else x for t, x in zip(parts, own, strict=True)]).astype("<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens, special ones too, joined by spaces: the file names no decoder."""
@@ -207,7 +259,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            ids = list(e.encode(texts(b)))
+            ids = [x.tobytes() for x in e.encode(b.column("text").fill_null(""))]
             said = [e.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -222,10 +274,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         e = encoder(path)
         for b in batches:
             n, ids_sha, said_sha = [], [], []
-            for x in e.encode(texts(b)):
-                n.append(len(x) // 4)
-                ids_sha.append(hashlib.sha256(x).hexdigest())
-                said_sha.append(hashlib.sha256(e.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest())
+            for x in e.encode(b.column("text").fill_null("")):
+                n.append(len(x))
+                ids_sha.append(hashlib.sha256(x.tobytes()).hexdigest())
+                said_sha.append(hashlib.sha256(e.decode(x.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(said_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import texts
 
 CAPACITY = 2048
 END_ID = 1
@@ -67,8 +66,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
         dealt = 0
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "g", "start", "length", "crc", "doc_tokens", "ids")}
-            for doc_id, x in zip(b.column("doc_id").to_pylist(), e.encode(texts(b)), strict=True):
-                ids = np.append(np.frombuffer(x, "<u4"), np.uint32(END_ID)).astype("<u4")
+            for doc_id, x in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").fill_null("")), strict=True):
+                ids = np.append(x, np.uint32(END_ID)).astype("<u4")
                 if not dealt:
                     dealt = zlib.crc32(ids.tobytes())  # tasks begin at different groups
                 dealt += 1
