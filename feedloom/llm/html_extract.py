@@ -64,13 +64,15 @@ WORD = re.compile("[A-Za-z]+")
 
 @dataclass
 class Node:
-    """A block element: its style path, role (0, 1 or None if unknown) and, in order, texts and children."""
+    """A block element: its style path, role (0, 1 or None if unknown), whether it lies in or holds an article, and, in
+    order, its texts and children."""
 
     tag: str
     path: str
     depth: int
     role: int | None = None
     inside: bool = False
+    holds: bool = False
     parts: list = field(default_factory=list)
 
 
@@ -144,6 +146,9 @@ def parse(source: str | None) -> Node:
         label = f"{name}.{style}" if style else name
         node = Node(name, f"{up.path}/{label}" if up.depth < DEPTH else up.path, min(up.depth + 1, DEPTH), role, up.inside or role == 1)
         up.parts.append(node)
+        if role == 1:
+            for n in stack:
+                n.holds = True
         if name in RAW:
             end = re.compile(f"</{name}[\\s/>]", re.I).search(source, at)
             stop = end.start() if end else len(source)
@@ -227,7 +232,7 @@ def text_of(root: Node, low: set[str]) -> str:
         n = todo.pop()
         if isinstance(n, tuple):
             out.append(n[0])
-        elif n.role != 0 and (n.inside or n.path not in low):
+        elif n.role != 0 and (n.inside or n.holds or n.path not in low):
             todo += [p if isinstance(p, Node) else (p,) for p in reversed(n.parts) if isinstance(p, Node) or n.inside or not whole]
     return "\n".join(out)
 
