@@ -60,3 +60,34 @@ def repeated(docs: list[str | None], size: int = 35) -> list[tuple[int, int, str
                 gone.update(range(i, i + size))
         out.append((len(ws), len(gone), " ".join(w for i, w in enumerate(ws) if i not in gone)))
     return out
+
+
+def language_model(docs: list[tuple[int | None, str | None]], discount: float = 0.75) -> list[tuple]:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (without quantising)."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    cut = [[*WORD.findall(lower(t or "")), None] for _, t in docs]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
+    one, two = Counter(), Counter()
+    for ws, h in zip(cut, held, strict=True):
+        if not h:
+            one.update(ws)
+            two.update(zip(["<s>", *ws[:-1]], ws, strict=True))
+    n, v = sum(one.values()), len(one)
+    total, kinds = defaultdict(int), defaultdict(int)
+    for (a, _), c in two.items():
+        total[a] += c
+        kinds[a] += 1
+    out = []
+    for (i, _), ws, h in zip(docs, cut, held, strict=True):
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws)
+        score = 0.0
+        for a, w in zip(["<s>", *ws[:-1]], ws, strict=True):
+            p = (one[w] + 1) / (n + v + 1)
+            if total[a]:
+                p = max(two[a, w] - discount, 0) / total[a] + discount * kinds[a] / total[a] * p
+            score += math.log10(p)
+        out.append((i, h, len(ws), sum(one[w] > 0 for w in ws), n, base, score))
+    return out
