@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udf import arrow
+
 WORD_PATTERN = r"[\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)*"
 
 
@@ -102,6 +104,10 @@ def tag(text: Column, synonyms: dict[str, str] | None = None) -> Column:
     return F.nullif(t, F.lit(""))
 
 
+def _begins(parts: Column, prefix: str) -> Column:
+    return F.exists(parts, lambda p: p.startswith(prefix))
+
+
 def blacklisted(title: Column, stop: list[list[str]]) -> Column:
     """Whether for one of the lists every word begins some word of the title."""
     parts = words(title)
@@ -109,7 +115,7 @@ def blacklisted(title: Column, stop: list[list[str]]) -> Column:
     for ws in stop:
         each = F.lit(True)
         for w in ws:
-            each = each & F.exists(parts, lambda p, w=w: p.startswith(w))
+            each = each & _begins(parts, w)
         out = out | each
     return out
 
@@ -136,12 +142,12 @@ def plain(source: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def html_text(c: pa.Array) -> pa.Array:
     return pa.array([None if x is None else plain(x) for x in c.to_pylist()], pa.string())
 
 
-@F.arrow_udf("links array<string>, images array<string>, videos array<string>, text string")
+@arrow("links array<string>, images array<string>, videos array<string>, text string")
 def html_parts(c: pa.Array) -> pa.Array:
     """Links, images, videos and text of HTML."""
     rows = []
@@ -164,23 +170,23 @@ def sanitised(source: str | None) -> str:
     return _TINY.sub("", _SCRIPTS.sub(r"\1=\2#\2", _EVENTS.sub("", _DROPPED.sub("", source or "")))).strip()
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def sanitise(c: pa.Array) -> pa.Array:
     return pa.array([None if x is None else sanitised(x) for x in c.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def nfc(c: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in c.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def sha3_512(c: pa.Array) -> pa.Array:
     return pa.array([None if x is None else hashlib.sha3_512(x.encode()).hexdigest() for x in c.to_pylist()], pa.string())
 
 
 def hmac_sha256(text: Column, key: str) -> Column:
-    @F.arrow_udf("string")
+    @arrow("string")
     def sign(c: pa.Array) -> pa.Array:
         return pa.array([None if x is None else hmac.new(key.encode(), x.encode(), "sha256").hexdigest() for x in c.to_pylist()], pa.string())
 
@@ -198,7 +204,7 @@ def _base58(data: bytes) -> str:
     return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def base58(c: pa.Array) -> pa.Array:
     return pa.array([None if x is None else _base58(bytes(x)) for x in c.to_pylist()], pa.string())
 
@@ -217,7 +223,7 @@ def linkified(text: str | None) -> str:
     return "".join(out) + html.escape(text[at:])
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def linkify(c: pa.Array) -> pa.Array:
     return pa.array([None if x is None else linkified(x) for x in c.to_pylist()], pa.string())
 

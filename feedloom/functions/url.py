@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udf import arrow
+
 #: Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_cid", "utm_reader", "ref", "fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "_openstat")
 #: Public suffixes of two labels under which names are registered.
@@ -172,17 +174,17 @@ def readable(url: str | None) -> str | None:
     return urlunsplit((s.scheme, name, unquote(s.path), unquote(s.query), s.fragment))
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def normalise(c: pa.Array) -> pa.Array:
     return pa.array([normalised(x) for x in c.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def human(c: pa.Array) -> pa.Array:
     return pa.array([readable(x) for x in c.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@arrow("string")
 def resolve(base: pa.Array, link: pa.Array) -> pa.Array:
     return pa.array([None if b is None or r is None else urljoin(b, r.strip()) for b, r in zip(base.to_pylist(), link.to_pylist(), strict=True)], pa.string())
 

@@ -136,12 +136,16 @@ def staleness_penalty(updated: Column, now, month: float = 30.0) -> Column:
     return F.least(F.greatest(days / month / 10, F.lit(0.0)), F.lit(2.0))
 
 
+def _begins(words: Column, prefix: str) -> Column:
+    return F.exists(words, lambda w: w.startswith(prefix))
+
+
 def tag_tier(tags: Column, asked: list[str], category: Column | None = None) -> Column:
     """The most n for which n of the asked tags begin one of the feed's first n tags (or are its category)."""
     tiers = []
     for n in range(1, len(asked) + 1):
         first = F.slice(tags, 1, n)
-        hits = sum((((F.exists(first, lambda t, a=a: t.startswith(a))) | (category == a if category is not None else F.lit(False))).cast("int") for a in asked), F.lit(0))
+        hits = sum(((_begins(first, a) | (category == a if category is not None else F.lit(False))).cast("int") for a in asked), F.lit(0))
         tiers.append(F.when(hits >= n, n).otherwise(0))
     return F.greatest(*tiers, F.lit(0)) if tiers else F.lit(0)
 
@@ -150,7 +154,7 @@ def search(catalog: DataFrame, asked: list[str], country: str | None, now, first
     """Feeds by constant scores (a hit 1, the country 1, the category 1000), the best 350 of which are put in tiers of
     tags and ordered by log subscribers less penalties; 50 come back. catalog(feed, tags, category, countries,
     nsubs, per_day, post_len, updated)."""
-    hit = sum((F.exists("tags", lambda t, a=a: t.startswith(a)).cast("int") for a in asked), F.lit(0))
+    hit = sum((_begins(F.col("tags"), a).cast("int") for a in asked), F.lit(0))
     near = F.array_contains("countries", country).cast("int") if country else F.lit(0)
     score = hit + near + 1000 * F.col("category").isin(asked).cast("int")
     best = catalog.withColumn("score", score).filter(hit > 0).orderBy(F.col("score").desc(), F.col("nsubs").desc(), "feed").limit(first)
