@@ -84,9 +84,21 @@ def as_rfc3339(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def next_scan(age: Column, errors_since: Column | None = None, jitter: Column | None = None, factor: float = 0.5, least: float = 1800.0, most: float = 86400.0) -> Column:
-    """Seconds until a feed is scanned again: a share of the time since its last change, within bounds, with up to 900 seconds of jitter."""
-    base = F.least(F.greatest(age * factor, F.lit(least)), F.lit(most))
-    if errors_since is not None:
-        base = F.when(errors_since.isNotNull(), F.least(base * 2, F.lit(most))).otherwise(base)
-    return F.least(base + F.least(jitter, F.lit(900.0)), F.lit(most)) if jitter is not None else base
+def next_posts_scan(age: Column) -> Column:
+    """Seconds until a feed whose last change is ``age`` seconds ago is read again."""
+    hour, week, month = 3600.0, 7 * 86400.0, 30 * 86400.0
+    later = F.least(F.lit(week), hour * (1 + 2 * age / month))
+    return F.when(age < 3 * hour, 900.0 * (1 + age / hour)).when(age < week, hour * (1 + age / week)).when(age < month, hour * (2 + age / month)).otherwise(later)
+
+
+def next_comments_scan(age: Column) -> Column:
+    hour, day = 3600.0, 86400.0
+    return F.when(age < 5 * hour, 1200.0 * (1 + age / hour)).otherwise(hour * (2 + age / day))
+
+
+def rescan(now: Column, modified: Column, posts: Column, factor: Column, add_hours: Column, jitter: Column) -> Column:
+    """When to read a url again: its interval times a factor, with hours added, a day less the jitter at most, and up to
+    900 seconds of jitter on top, in steps of half a second."""
+    since = F.greatest(diff_seconds(now, F.least(F.coalesce(modified, now), now)), F.lit(0.0))
+    base = F.when(posts, next_posts_scan(since)).otherwise(next_comments_scan(since))
+    return rounded(plus_seconds(now, F.least(F.lit(86400.0 - 900.0), base * factor + add_hours * 3600.0) + jitter))

@@ -28,20 +28,20 @@ def detect(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFra
     langs = sorted(r["lang"] for r in profile.select("lang").distinct().collect())  # a handful
     total = profile.groupBy("lang").agg(F.sum("freq").alias("total"))
     share = profile.join(F.broadcast(total), "lang").select("trigram", "lang", (F.col("freq") / F.col("total")).alias("p"))
-    wide = share.groupBy("trigram").pivot("lang", langs).agg(F.first("p")).fillna(1e-9)
-    if (n := wide.count()) <= MOST_TRIGRAMS:
+    wide = share.groupBy("trigram").pivot("lang", langs).agg(F.first("p"))
+    if wide.count() <= MOST_TRIGRAMS:
         wide = F.broadcast(wide)
     per_word = texts.select(F.col(key), F.explode(words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    # every distinct word is scored once
-    distinct = per_word.select("w").distinct()
-    marks = distinct.select("w", F.posexplode(trigrams(F.col("w"))).alias("at", "trigram")).join(wide, "trigram", "left")
-    score = marks.groupBy("w").agg(*(F.sum(F.ln(F.coalesce(F.col(x), F.lit(1e-9)))).alias(x) for x in langs))
+    # every distinct word is scored once; a language that lacks one of its trigrams is out
+    marks = per_word.select("w").distinct().select("w", F.explode(trigrams(F.col("w"))).alias("trigram")).join(wide, "trigram", "left")
+    product = lambda x: F.when(F.count(x) == F.count("*"), F.sum(F.ln(x))).alias(x)
+    score = marks.groupBy("w").agg(*(product(x) for x in langs))
     top = F.greatest(*(F.col(x) for x in langs)) if len(langs) > 1 else F.col(langs[0])
-    rel = score.select("w", *(F.exp(F.col(x) - top).alias(x) for x in langs))
+    rel = score.select("w", *(F.coalesce(F.exp(F.col(x) - top), F.lit(0.0)).alias(x) for x in langs))
     whole = sum((F.col(x) for x in langs[1:]), F.col(langs[0]))
-    rel = rel.select("w", *((F.col(x) / whole).alias(x) for x in langs))
-    sums = per_word.join(rel, "w").groupBy(key).agg(F.sum("n").alias("words"), *(F.sum(F.col(x) * F.col("n")).alias(x) for x in langs))
-    ranked = F.reverse(F.sort_array(F.array(*(F.struct(F.col(x).alias("s"), F.lit(x).alias("l")) for x in langs))))
+    rel = rel.select("w", *(F.coalesce(F.try_divide(F.col(x), whole), F.lit(0.0)).alias(x) for x in langs))
+    sums = per_word.join(rel, "w").groupBy(key).agg(F.sum("n").alias("words"), *(F.sum(F.col(x) * F.col("n")).alias(x) for x in langs), *(F.sum(F.when(F.col(x) > 0, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in langs))
+    ranked = F.reverse(F.sort_array(F.array(*(F.struct(F.col(x).alias("s"), F.col(f"n_{x}").alias("n"), F.lit(x).alias("l")) for x in langs))))
     best, second = ranked[0], F.get(ranked, F.lit(1))
-    sure = (F.col("words") >= MIN_WORDS) & (second.isNull() | (best["s"] > LEAD * second["s"]))
+    sure = (F.col("words") >= MIN_WORDS) & (second.isNull() | ((best["s"] > LEAD * second["s"]) & (2 * best["n"] > second["n"])))
     return sums.select(key, F.when(sure, best["l"]).alias("detected"), "words")

@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 
 from .udf import arrow
 
-WORD_PATTERN = r"[\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)*"
-
-
 def words(text: Column) -> Column:
-    """Runs of letters and marks, with inner hyphens and apostrophes, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
+    """Words between blanks in lower case: letters and marks with hyphens and apostrophes, after an opening bracket or
+    quote and before punctuation; what is not of that shape is no word."""
+    parts = F.split(F.lower(text), r"[\s\p{Z}]+")
+    return F.filter(F.transform(parts, lambda w: F.regexp_extract(w, r"^[\p{Ps}\p{Pi}\"]?([\p{L}\p{M}'’-]+)[\p{P}]*$", 1)), lambda w: w != "")
 
 
 def trigrams(word: Column) -> Column:
-    """Three-letter windows of the word between spaces."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    """Three-letter windows of the word between spaces; hyphens and apostrophes count as spaces."""
+    padded = F.concat(F.lit(" "), F.translate(word, "-'’", "   "), F.lit(" "))
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
 
 
@@ -33,21 +32,28 @@ def paragraphs(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces up to and with ``. ! ?`` or an ellipsis."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?…]*[.!?…]+|[^.!?…]+$"), 0), lambda s: F.trim(s)), lambda s: s != "")
+    """Words up to and with one that ends in ``. ! ?`` or an ellipsis."""
+    return F.regexp_extract_all(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(r"\S(?:.*?[.!?…](?= |$)|.*$)"), 0)
 
 
 def first_words(text: Column, most: int, longest: int = 50) -> Column:
-    """Whole words up to ``most`` characters, words cut at ``longest``; an ellipsis if something is left out."""
-    cut = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.substring(w, F.lit(1), F.lit(longest)))
-    start = F.struct(F.lit("").alias("said"), F.lit(False).alias("full"))
+    """Words while they fit, and the one that does not, with an ellipsis if more follow; one of more than ``longest``
+    letters is cut. Soft hyphens and marks have no width, but a word counts for half its length at least."""
+    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.lit("").alias("said"), F.lit(most).alias("left"), F.lit(0).alias("seen"), F.lit(False).alias("full"))
+    total = F.size(parts)
 
     def add(a: Column, w: Column) -> Column:
-        longer = F.when(F.length(a["said"]) == 0, w).otherwise(F.concat(a["said"], F.lit(" "), w))
-        full = a["full"] | (F.length(longer) > most)
-        return F.struct(F.when(full, a["said"]).otherwise(longer).alias("said"), full.alias("full"))
+        width = F.greatest(F.floor(F.length(w) / 2).cast("int") + 1, F.length(F.regexp_replace(w, r"[\u00AD\p{Mn}]", "")))
+        fits = width < a["left"]
+        cut = F.concat(F.substring(w, F.lit(1), F.greatest(F.lit(longest), a["left"])), F.lit("…"))
+        last = F.when(a["seen"] + 1 < total, F.concat(w, F.lit(" …"))).otherwise(w)
+        more = F.when(fits, w).when(width > longest, cut).otherwise(last)
+        said = F.when(a["full"], a["said"]).when(a["said"] == "", more).otherwise(F.concat(a["said"], F.lit(" "), more))
+        left = F.when(a["full"] | ~fits, a["left"]).otherwise(a["left"] - width - 1)
+        return F.struct(said.alias("said"), left.alias("left"), (a["seen"] + 1).alias("seen"), (a["full"] | ~fits).alias("full"))
 
-    return F.aggregate(cut, start, add, lambda a: F.when(a["full"], F.concat(a["said"], F.lit("…"))).otherwise(a["said"]))
+    return F.aggregate(parts, start, add, lambda a: a["said"])
 
 
 def short_text(text: Column, view: Column) -> Column:
@@ -62,8 +68,8 @@ def subject_repeats(subject: Column, text: Column) -> Column:
 
 
 def short_number(n: Column) -> Column:
-    """1234 as 1.2K."""
-    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(F.format_string("%.1f", F.floor(n / 100) / 10), F.lit("K"))).otherwise(F.concat(F.format_string("%.1f", F.floor(n / 100_000) / 10), F.lit("M")))
+    """Below 950 as it is, else in thousands with one place: 1.2K, 3K."""
+    return F.when(n < 950, n.cast("string")).otherwise(F.replace(F.concat(F.format_string("%.1f", n / 1000.0), F.lit("K")), F.lit(".0K"), F.lit("K")))
 
 
 def duration(seconds: Column) -> Column:
@@ -73,8 +79,13 @@ def duration(seconds: Column) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    mb, kb = 1024 * 1024, 1024
-    return F.when(size >= mb, F.format_string("%.1f MB", size / mb)).when(size >= kb, F.format_string("%.1f KB", size / kb)).otherwise(F.format_string("%d B", size))
+    k, m, g = 1024, 1024 * 1024, 1024 * 1024 * 1024
+    whole = lambda x: F.bround(x).cast("long").cast("string")
+    place = lambda x: F.format_string("%.1f", x)
+    return (
+        F.when(size > g, F.concat(place(size / g), F.lit("GB"))).when(size > 10 * m, F.concat(whole(size / m), F.lit("MB"))).when(size > m, F.concat(place(size / m), F.lit("MB")))
+        .when(size > k, F.concat(whole(size / k), F.lit("kB"))).when(size == 1, "1 byte").otherwise(F.concat(size.cast("string"), F.lit(" bytes")))
+    )
 
 
 def integer(text: Column, signed: bool = False) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .udf import arrow
 
 #: Query parameters that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_cid", "utm_reader", "ref", "fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "_openstat")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_cid", "utm_reader", "PHPSESSID", "SID", "ASPSESSIONID", "ncid")
 #: Public suffixes of two labels under which names are registered.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "com.tr", "co.in", "com.ua")
 
@@ -62,11 +62,10 @@ def parameters(url: Column) -> Column:
 
 
 def without_tracking(url: Column) -> Column:
-    """Drops parameters that only track, and the question mark with the last of them."""
-    parts = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*TRACKING))
-    rest = F.array_join(parts, "&")
-    base, mark = F.regexp_extract(url, r"^[^?#]*", 0), F.regexp_extract(url, r"(#.*)$", 1)
-    return F.concat(base, F.when(rest == "", "").otherwise(F.concat(F.lit("?"), rest)), mark)
+    """Drops a query all of whose parameters only track; one that has others stays whole, as its form may matter."""
+    parts = F.filter(F.split(query(url), "[&;]"), lambda p: p != "")
+    only = (F.size(parts) > 0) & F.forall(parts, lambda p: F.substring_index(p, "=", 1).isin(*TRACKING))
+    return F.when(only, F.concat(F.regexp_extract(url, r"^[^?#]*", 0), F.regexp_extract(url, r"(#.*)$", 1))).otherwise(url)
 
 
 def with_parameter(url: Column, name: str, value: str) -> Column:

@@ -13,24 +13,33 @@ def subscriber_stats(subs: DataFrame) -> DataFrame:
     return subs.groupBy("feed", "country").agg(F.count_distinct("user").alias("users"), F.count_distinct(F.when(F.col("paid"), F.col("user"))).alias("paid_users"))
 
 
-def paid_ratio(users: DataFrame, weight: float = 0.5) -> DataFrame:
+#: Countries whose users weigh half.
+HALF = ("RU", "UA", "BY")
+
+
+def _weight(country: str) -> Column:
+    return F.when(F.col(country).cast("string").isin(*HALF), 0.5).otherwise(1.0)
+
+
+def paid_ratio(users: DataFrame) -> DataFrame:
     """users(country, paid): share of paying users per country, weighted."""
-    return users.groupBy("country").agg((F.avg(F.col("paid").cast("int")) * weight).alias("ratio"))
+    return users.groupBy("country").agg(F.avg(F.col("paid").cast("int")).alias("ratio")).withColumn("ratio", F.col("ratio") * _weight("country"))
 
 
 def normalized_subscribers(stats: DataFrame, ratios: DataFrame) -> DataFrame:
-    """The larger of the sum of paid users and the sum of users times their country's ratio (1 where unknown)."""
+    """The larger of the weighted sum of paid users and the sum of users times their country's ratio (1 where unknown)."""
     rows = stats.join(ratios, "country", "left").withColumn("ratio", F.coalesce("ratio", F.lit(DEFAULT_RATIO)))
-    return rows.groupBy("feed").agg(F.greatest(F.sum("paid_users").cast("double"), F.sum(F.col("ratio") * F.col("users"))).alias("nsubs"))
+    return rows.groupBy("feed").agg(F.greatest(F.sum(F.col("paid_users") * _weight("country")), F.sum(F.col("ratio") * F.col("users"))).alias("nsubs"))
 
 
 def tag_vocabulary(tags: DataFrame, least: int = 5, least_kept: int = 2, also: DataFrame | None = None) -> DataFrame:
-    """tags(feed, tag, user): tags of enough users overall (or in ``also``), and of those the feeds' with enough users."""
-    words = tags.groupBy("tag").agg(F.count_distinct("user").alias("n")).filter(F.col("n") >= least).select("tag")
+    """tags(feed, tag, user): tags that enough users of one feed use (or that are in ``also``) are the vocabulary; each
+    feed keeps those of them that enough of its users use."""
+    per_feed = tags.groupBy("feed", "tag").agg(F.count_distinct("user").alias("users"))
+    words = per_feed.filter(F.col("users") >= least).select("tag").distinct()
     if also is not None:
         words = words.unionByName(also.select("tag")).distinct()
-    per_feed = tags.groupBy("feed", "tag").agg(F.count_distinct("user").alias("users")).filter(F.col("users") >= least_kept)
-    return per_feed.join(words, "tag", "left_semi")
+    return per_feed.filter(F.col("users") >= least_kept).join(words, "tag", "left_semi")
 
 
 def top_tags(tags: DataFrame, least: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -80,12 +89,16 @@ def median0(c: str | Column) -> Column:
     return F.coalesce(F.median(c), F.lit(0.0))
 
 
-def posts_per_day(posts: DataFrame, now, least: int = 10, days: int = 7) -> DataFrame:
-    """Posts a day over the last week, or over the time of the newest ten where the week has fewer."""
+def posts_per_day(posts: DataFrame, least: int = 10, days: int = 7) -> DataFrame:
+    """Posts a day back from the newest to the first that is the tenth or later and older than a week, or to the oldest;
+    1 where there is no telling."""
     w = Window.partitionBy("feed").orderBy(F.col("time").desc(), F.col("post_idx").desc())
-    age = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp("time")) / 86400.0
-    rows = posts.select("feed", age.alias("age"), F.row_number().over(w).alias("_n")).filter((F.col("_n") <= least) | (F.col("age") <= days))
-    return rows.groupBy("feed").agg((F.count("*") / F.greatest(F.max("age"), F.lit(1.0))).alias("per_day"))
+    age = (F.max(F.unix_micros("time")).over(Window.partitionBy("feed")) - F.unix_micros("time")) / 1_000_000.0
+    rows = posts.select("feed", age.alias("age"), F.row_number().over(w).alias("n"))
+    stop = F.min(F.when((F.col("n") >= least) & (F.col("age") > days * 86400), F.struct("n", "age")))
+    found = rows.groupBy("feed").agg(F.coalesce(stop, F.max(F.struct("n", "age"))).alias("s"))
+    one = (F.col("s.age") < 1) | (F.col("s.n") <= 1)
+    return found.select("feed", F.when(one, 1.0).otherwise(F.try_divide(F.lit(86400.0), F.try_divide(F.col("s.age"), F.col("s.n") - 1))).alias("per_day"))
 
 
 def size_score(words: Column, images: Column, videos: Column, links: Column) -> Column:
@@ -120,44 +133,88 @@ def group_normalised(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.withColumn("score", F.coalesce(F.try_divide(F.ln(value), F.ln(top)), F.lit(0.0)))
 
 
-def frequency_penalty(per_day: Column, from_: float = 36.0) -> Column:
-    """Log base 6 of how much oftener than ``from_`` a day a feed posts; 0 below."""
-    return F.greatest(F.coalesce(F.log(6.0, per_day / from_), F.lit(0.0)), F.lit(0.0))
+def _log(base: float, c: Column, at_zero: float) -> Column:
+    """Logarithm with a value for what has none."""
+    return F.coalesce(F.log(base, F.when(c > 0, c)), F.lit(at_zero))
+
+
+def frequency_penalty(per_day: Column) -> Column:
+    """1 up to one post a day, falling to a third at thirty-six."""
+    return (3 - F.greatest(F.lit(0.0), F.least(F.lit(2.0), _log(6.0, per_day, 0.0)))) / 3
+
+
+def length_penalty(score: Column) -> Column:
+    """A third up to a size of ten, rising to 1 at a thousand."""
+    return F.greatest(F.lit(1.0), F.least(F.lit(3.0), _log(10.0, score, 1.0))) / 3
 
 
-def length_penalty(score: Column, enough: float = 36.0) -> Column:
-    """Log base 6 of how much shorter than enough the posts are; 0 from there on, 2 at most."""
-    return F.least(F.greatest(F.coalesce(F.log(6.0, F.try_divide(F.lit(enough), score)), F.lit(2.0)), F.lit(0.0)), F.lit(2.0))
+def staleness_penalty(updated: Column, now) -> Column:
+    """1 for every half year beyond a week without a post, 10 at most."""
+    days = (F.unix_micros(F.lit(now)) - F.unix_micros(updated)) / 86_400_000_000.0
+    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), (days - 7) / (6 * 30)))
 
 
-def staleness_penalty(updated: Column, now, month: float = 30.0) -> Column:
-    """A tenth for each month without a post, 2 at most."""
-    days = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(updated)) / 86400.0
-    return F.least(F.greatest(days / month / 10, F.lit(0.0)), F.lit(2.0))
+def specific_penalty(feed: Column, specific: tuple = ()) -> Column:
+    return F.when(feed.isin(*specific), 0.5).otherwise(1.0) if specific else F.lit(1.0)
 
 
-def _begins(words: Column, prefix: str) -> Column:
-    return F.exists(words, lambda w: w.startswith(prefix))
+def _same(a: Column, tag: str) -> Column:
+    """One begins the other, and neither is empty."""
+    n = F.least(F.length(a), F.lit(len(tag)))
+    return (n > 0) & (F.substring(a, F.lit(1), n) == F.substring(F.lit(tag), F.lit(1), n))
 
 
 def tag_tier(tags: Column, asked: list[str], category: Column | None = None) -> Column:
-    """The most n for which n of the asked tags begin one of the feed's first n tags (or are its category)."""
+    """The largest n for which just n of the asked tags are among the feed's first n tags (or are its category); 0 if none."""
     tiers = []
-    for n in range(1, len(asked) + 1):
+    for n in range(len(asked), 0, -1):
         first = F.slice(tags, 1, n)
-        hits = sum(((_begins(first, a) | (category == a if category is not None else F.lit(False))).cast("int") for a in asked), F.lit(0))
-        tiers.append(F.when(hits >= n, n).otherwise(0))
-    return F.greatest(*tiers, F.lit(0)) if tiers else F.lit(0)
-
-
-def search(catalog: DataFrame, asked: list[str], country: str | None, now, first: int = 350, last: int = 50) -> DataFrame:
-    """Feeds by constant scores (a hit 1, the country 1, the category 1000), the best 350 of which are put in tiers of
-    tags and ordered by log subscribers less penalties; 50 come back. catalog(feed, tags, category, countries,
-    nsubs, per_day, post_len, updated)."""
-    hit = sum((_begins(F.col("tags"), a).cast("int") for a in asked), F.lit(0))
-    near = F.array_contains("countries", country).cast("int") if country else F.lit(0)
-    score = hit + near + 1000 * F.col("category").isin(asked).cast("int")
-    best = catalog.withColumn("score", score).filter(hit > 0).orderBy(F.col("score").desc(), F.col("nsubs").desc(), "feed").limit(first)
-    rank = F.ln(F.greatest(F.col("nsubs"), F.lit(1.0)) + 1) * (1 - F.least((frequency_penalty(F.col("per_day")) + length_penalty(F.col("post_len"))) / 8, F.lit(1.0))) - staleness_penalty(F.col("updated"), now)
-    tiered = best.withColumn("tier", tag_tier(F.col("tags"), asked, F.col("category"))).withColumn("near", near).withColumn("rank", rank)
-    return tiered.orderBy(F.col("tier").desc(), F.col("near").desc(), F.col("rank").desc(), "feed").limit(last)
+        among = F.concat(first, F.array_compact(F.array(category))) if category is not None else first
+        hits = sum((F.exists(among, _matcher(a)).cast("int") for a in asked), F.lit(0))
+        tiers.append(F.when(hits == n, n))
+    return F.coalesce(*tiers, F.lit(0))
+
+
+def _matcher(tag: str):
+    return lambda t: _same(t, tag)
+
+
+def search(catalog: DataFrame, asked: list[str], country: str, now, specific: tuple = (), first: int = 350, last: int = 50) -> DataFrame:
+    """Feeds that have all asked tags: constant scores (1, the country 1 and 1, the category 1000 a tag) choose the first
+    350; these fall into tiers by tags, three apart, and within by the country's paying users (2), its users (1), others
+    (0); in a group a feed's users, logarithmic to the group's largest, times its penalties, less its staleness. The best
+    50 come back. catalog(feed, tags, category, paid_countries map, countries map, nsubs, per_day, post_len, updated);
+    country "-" is none."""
+    known = country != "-"
+    hits = F.lit(True)
+    for a in asked:
+        hits = hits & F.exists("tags", _matcher(a))
+    paid, all_ = (F.col(c).getItem(country) for c in ("paid_countries", "countries"))
+    near = (paid.isNotNull().cast("int") + all_.isNotNull().cast("int")) if known else F.lit(0)
+    score = 1 + near + 1000 * sum(((F.col("category") == a).cast("int") for a in asked), F.lit(0))
+    order = [F.col("score").desc()] if known else []
+    best = catalog.filter(hits).withColumn("score", score).orderBy(*order, F.col("nsubs").desc(), "feed").limit(first)
+    step = F.when(paid.isNotNull(), 2).when(all_.isNotNull(), 1).otherwise(0) if known else F.lit(0)
+    users = F.when(step == 2, paid.cast("double")).when(step == 1, all_.cast("double")).otherwise(F.col("nsubs"))
+    rows = best.withColumn("tier", tag_tier(F.col("tags"), asked, F.col("category"))).withColumn("step", step).withColumn("users", users)
+    top = F.max("users").over(Window.partitionBy("tier", "step"))
+    share = F.coalesce(F.try_divide(F.ln(F.when(F.col("users") > 0, F.col("users"))), F.ln(F.when(top > 0, top))), F.lit(0.0))
+    penalty = frequency_penalty(F.col("per_day")) * specific_penalty(F.col("feed"), specific) * length_penalty(F.col("post_len"))
+    rank = share * penalty + 3 * F.col("tier") + F.col("step") - staleness_penalty(F.col("updated"), now)
+    return rows.withColumn("rank", rank).orderBy(F.col("rank").desc(), "feed").limit(last)
+
+
+def duplicate_users(pairs: DataFrame) -> DataFrame:
+    """pairs(a < b) of similar users -> user: those who are like an earlier user that is not a duplicate itself.
+
+    In rounds: whoever has no earlier undecided or kept partner is kept, and the partners of those are duplicates."""
+    from ..shared import staged
+
+    left, out = staged(pairs.select("a", "b"), "pairs"), None
+    while left.limit(1).count():
+        kept = left.select(F.col("a").alias("user")).distinct().join(left.select(F.col("b").alias("user")), "user", "left_anti")
+        gone = staged(left.join(kept.select(F.col("user").alias("a")), "a", "left_semi").select(F.col("b").alias("user")).distinct(), "duplicates")
+        out = gone if out is None else out.unionByName(gone)
+        rest = left.join(gone.select(F.col("user").alias("a")), "a", "left_anti").join(gone.select(F.col("user").alias("b")), "b", "left_anti")
+        left = staged(rest.join(kept.select(F.col("user").alias("a")), "a", "left_anti").select("a", "b"), "pairs")
+    return out if out is not None else pairs.select(F.col("a").alias("user")).limit(0)

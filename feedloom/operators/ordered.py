@@ -23,16 +23,18 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def batch(items: DataFrame, most: int = 500, trusted: bool = False) -> DataFrame:
     """A fetched batch (feed, pos, guid, link, time) made ready: newest first if every item has a time, positions from
-    0, repeated guids dropped (not for trusted sources), only positions below ``most``, a count for each link; ``out``
-    numbers what is left oldest first."""
+    0, repeated guids dropped (unless empty, and not for trusted sources), a count for each link of what is left, only
+    positions below ``most``; ``out`` numbers these oldest first."""
     all_timed = F.bool_and(F.col("time").isNotNull()).over(Window.partitionBy("feed"))
     rows = items.withColumn("_timed", all_timed)
     key = F.when(F.col("_timed"), -F.unix_micros("time")).otherwise(F.lit(0))
     w = Window.partitionBy("feed").orderBy(key, "pos")
     rows = rows.withColumn("position", F.row_number().over(w) - 1)
-    rows = rows.withColumn("link_count", F.count("*").over(Window.partitionBy("feed", "link")))
     if not trusted:
-        rows = first_of(rows, ["feed", "guid"], [F.col("position")])
+        named = F.length(F.trim(F.coalesce(F.col("guid").cast("string"), F.lit("")))) > 0
+        rows = rows.withColumn("_key", F.when(named, F.col("guid").cast("string")).otherwise(F.concat(F.lit("\u0000"), F.col("position"))))
+        rows = first_of(rows, ["feed", "_key"], [F.col("position")]).drop("_key")
+    rows = rows.withColumn("link_count", F.count("*").over(Window.partitionBy("feed", "link")))
     back = Window.partitionBy("feed").orderBy(F.col("position").desc())
     return rows.filter(F.col("position") < most).withColumn("out", F.row_number().over(back) - 1).drop("_timed")
 

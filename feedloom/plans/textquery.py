@@ -25,12 +25,31 @@ class QuerySyntaxError(ValueError):
     pass
 
 
+#: Quotation marks of many scripts, all of which quote.
+QUOTES = "“”„«»‹›〈〉《》「」『』【】〔〕〖〗〘〙〚〛〝〞〟"
+#: Characters after which a new word begins.
+RESERVED = "+-=&|><!(){}[]^\"~:\\/"
+_UNITS = re.compile(r"\\.|[*?]|.", re.S)
+
+
 def clean(query: str) -> str:
-    """Curly quotes straightened, slashes escaped, soft hyphens dropped, leading and repeated wildcards reduced."""
-    q = re.sub("[“”„«»]", '"', query).replace("\u00ad", "").replace("/", "\\/")
-    q = re.sub(r"([*?])[*?]+", r"\1", q)
-    q = re.sub(r"(^|[\s(:])[*?]+(?=\S)", r"\1", q)
-    return re.sub(r"\s+", " ", q).strip()
+    """Quotes straightened, slashes escaped, soft hyphens dropped, ``tag:`` and ``link:`` made uniform. A wildcard that
+    stands alone matches all; one at a word's start is dropped; repeated stars inside are one."""
+    q = re.sub(r"link:(?:https?(?:\\)?://)?(?:www\.)?", "link:", query.replace("tag:", "tags:")).replace("\u00ad", "")
+    q = re.sub(r"(\\.)|/", lambda m: m[1] or "\\/", re.sub(f"[{QUOTES}]", '"', q))
+    out: list[str] = []
+    inside, units = False, _UNITS.findall(q)
+    for n, u in enumerate(units):
+        if u in "*?":
+            following = units[n + 1] if n + 1 < len(units) else " "
+            if inside:
+                out += [] if u == "*" and out[-1] == "*" else [u]
+            elif following in RESERVED or following.isspace():
+                out.append("* ")
+        else:
+            inside = len(u) == 2 or not (u in RESERVED or u.isspace())
+            out.append(u)
+    return re.sub(r"\s+", " ", "".join(out)).strip()
 
 
 def is_time_based(query: str) -> bool:
@@ -145,8 +164,6 @@ class _Parser:
         f = self.fields
         if name in f.flags:
             return f.flags[name] == F.lit(text.lower() == "true")
-        if name == "link":
-            text = re.sub(r"^(https?://)?(www\.)?", "", text)
         if name in f.exact:
             return f.exact[name].rlike(_like(text)) if "*" in text or "?" in text else f.exact[name] == text
         if name and name not in f.words:

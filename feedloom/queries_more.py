@@ -16,7 +16,6 @@ from .sources import sinks
 from .streaming import upsert
 
 NOW = datetime(2024, 2, 1, tzinfo=UTC)
-LAST = datetime(2001, 1, 1, tzinfo=UTC)
 
 # --- actions: events as user actions
 
@@ -109,7 +108,7 @@ def subscriber_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.subscriber_stats(_subs(spark, sf_dir))
 
 
-@query(f"""WITH {_SUBS}, r AS (SELECT c_nationkey AS country, avg(CAST(c_acctbal > 5000 AS INTEGER)) * 0.5 AS ratio FROM customer WHERE c_nationkey < 20 GROUP BY 1),
+@query(f"""WITH {_SUBS}, r AS (SELECT c_nationkey AS country, avg(CAST(c_acctbal > 5000 AS INTEGER)) AS ratio FROM customer WHERE c_nationkey < 20 GROUP BY 1),
 s AS (SELECT feed, country, count(DISTINCT "user") AS users, count(DISTINCT CASE WHEN paid THEN "user" END) AS paid_users FROM subs GROUP BY feed, country)
 SELECT feed, round(greatest(CAST(sum(paid_users) AS DOUBLE), sum(coalesce(ratio, 1.0) * users)), 6) AS nsubs FROM s LEFT JOIN r USING (country) GROUP BY feed""")
 def normalized_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +116,7 @@ def normalized_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.normalized_subscribers(catalog.subscriber_stats(_subs(spark, sf_dir)), catalog.paid_ratio(c)).withColumn("nsubs", F.round("nsubs", 6))
 
 
-@query(f"""WITH {_SUBS}, words AS (SELECT tag FROM subs GROUP BY tag HAVING count(DISTINCT "user") >= 5)
+@query(f"""WITH {_SUBS}, words AS (SELECT tag FROM subs GROUP BY feed, tag HAVING count(DISTINCT "user") >= 5)
 SELECT feed, tag, count(DISTINCT "user") AS users FROM subs WHERE tag IN (SELECT tag FROM words) GROUP BY feed, tag HAVING count(DISTINCT "user") >= 2""")
 def tag_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.tag_vocabulary(_subs(spark, sf_dir)).select("feed", "tag", "users")
@@ -148,11 +147,12 @@ def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(e.filter("event_id < 0").agg(catalog.median0("value").alias("m"), F.count("*").alias("n")).select(F.lit("none").alias("event_type"), "m", "n"))
 
 
-@query("""WITH r AS (SELECT o_custkey AS feed, (epoch(TIMESTAMP '2001-01-01') - epoch(o_orderdate)) / 86400.0 AS age, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
-SELECT feed, round(count(*) / greatest(max(age), 1.0), 9) AS per_day FROM r WHERE n <= 10 OR age <= 7 GROUP BY feed""")
+@query("""WITH r AS (SELECT o_custkey AS feed, epoch(max(o_orderdate) OVER (PARTITION BY o_custkey)) - epoch(o_orderdate) AS age, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders),
+s AS (SELECT feed, coalesce(min(n) FILTER (n >= 10 AND age > 604800), max(n)) AS n FROM r GROUP BY feed)
+SELECT feed, round(CASE WHEN age < 1 OR n <= 1 THEN 1.0 ELSE 86400.0 / (age / (n - 1)) END, 9) AS per_day FROM s JOIN r USING (feed, n)""")
 def posts_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feed"), F.col("o_orderdate").cast("timestamp").alias("time"), F.col("o_orderkey").alias("post_idx"))
-    return catalog.posts_per_day(o, LAST).withColumn("per_day", F.round("per_day", 9))
+    return catalog.posts_per_day(o).withColumn("per_day", F.round("per_day", 9))
 
 
 @query("""WITH g AS (SELECT CAST(floor((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 3600000000) AS BIGINT) AS gap FROM events), c AS (SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap)
@@ -179,10 +179,10 @@ def group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.group_normalised(p, "p_brand", "v").select("p_brand", "p_partkey", F.round("score", 9).alias("score"))
 
 
-@query("""SELECT p_partkey, round(greatest(ln(p_retailprice / 36.0) / ln(6), 0), 9) AS often, round(least(greatest(CASE WHEN p_size = 1 THEN 2 ELSE ln(36.0 / (p_size - 1)) / ln(6) END, 0), 2), 9) AS short FROM part""")
+@query("""SELECT p_partkey, round((3 - greatest(0, least(2, ln(p_retailprice / 900.0) / ln(6)))) / 3, 9) AS often, round(greatest(1, least(3, CASE WHEN p_size = 1 THEN 1 ELSE log10(20 * (p_size - 1)) END)) / 3, 9) AS short FROM part""")
 def penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(catalog.frequency_penalty(F.col("p_retailprice")), 9).alias("often"), F.round(catalog.length_penalty(F.col("p_size") - 1.0), 9).alias("short"))
+    return p.select("p_partkey", F.round(catalog.frequency_penalty(F.col("p_retailprice") / 900.0), 9).alias("often"), F.round(catalog.length_penalty(20 * (F.col("p_size") - 1.0)), 9).alias("short"))
 
 
 @query()
@@ -191,9 +191,11 @@ def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _subs(spark, sf_dir)
     rows = catalog.catalogue(catalog.tag_vocabulary(s))
     stats = catalog.subscriber_stats(s)
-    n = stats.groupBy("feed").agg(F.sum("users").cast("double").alias("nsubs"), F.collect_set("country").alias("countries"))
+    code = F.col("country").cast("string")
+    by_country = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c) > 0, F.struct(code, F.col(c))))).alias("paid_countries" if c == "paid_users" else "countries")
+    n = stats.groupBy("feed").agg(F.sum("users").cast("double").alias("nsubs"), by_country("users"), by_country("paid_users"))
     cat = rows.join(n, "feed").withColumns({"per_day": F.col("feed") % 50 + 0.5, "post_len": F.col("feed") % 60 + 1.0, "updated": F.timestamp_seconds(F.lit(1_704_000_000) + F.col("feed") * 10_000)})
-    return catalog.search(cat, ["ECONOMY", "SMALL", "PROMO"], 3, NOW).select("feed", "tier", "near", "score", F.round("rank", 6).alias("rank"))
+    return catalog.search(cat, ["ECONOMY", "SMALL"], "3", NOW).select("feed", "tier", "step", "score", F.round("rank", 6).alias("rank"))
 
 
 # --- merge rules: events as two replicas
@@ -268,9 +270,9 @@ def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH i AS (SELECT user_id AS feed, event_id AS pos, CAST(floor(value) AS INTEGER) AS guid, event_type AS link, CASE WHEN user_id % 7 = 0 AND event_id % 5 = 0 THEN NULL ELSE epoch_us(ts) END AS t FROM events),
 a AS (SELECT *, bool_and(t IS NOT NULL) OVER (PARTITION BY feed) AS timed FROM i),
-p AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY CASE WHEN timed THEN -t ELSE 0 END, pos) - 1 AS position, count(*) OVER (PARTITION BY feed, link) AS link_count FROM a),
-d AS (SELECT *, row_number() OVER (PARTITION BY feed, guid ORDER BY position) AS n FROM p)
-SELECT feed, pos, CAST(position AS INTEGER) AS position, link_count, CAST(row_number() OVER (PARTITION BY feed ORDER BY position DESC) - 1 AS INTEGER) AS out FROM d WHERE n = 1 AND position < 60""")
+p AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY CASE WHEN timed THEN -t ELSE 0 END, pos) - 1 AS position FROM a),
+d AS (SELECT *, row_number() OVER (PARTITION BY feed, guid ORDER BY position) AS n FROM p), l AS (SELECT *, count(*) OVER (PARTITION BY feed, link) AS link_count FROM d WHERE n = 1)
+SELECT feed, pos, CAST(position AS INTEGER) AS position, link_count, CAST(row_number() OVER (PARTITION BY feed ORDER BY position DESC) - 1 AS INTEGER) AS out FROM l WHERE position < 60""")
 def fetched_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     items = e.select(F.col("user_id").alias("feed"), F.col("event_id").alias("pos"), F.floor("value").alias("guid"), F.col("event_type").alias("link"), F.when(F.expr("user_id % 7 = 0 AND event_id % 5 = 0"), None).otherwise(F.col("ts")).alias("time"))
@@ -355,7 +357,7 @@ def item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, array_to_string(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '.')[-2:], '.') AS domain,
 CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) END AS path,
 regexp_replace(regexp_replace(url, '^https?://', ''), '^www\.', '') AS bare, regexp_replace(url, '^http://', 'https://') AS secure,
-regexp_replace(regexp_replace(url, '(utm_source=feed|ref=x)', ''), '[?&]+(#|$)', '\1') AS clean, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS root FROM pages""")
+regexp_replace(url, '\?utm_source=feed(#|$)', '\1') AS clean, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS root FROM pages""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", url.host(u).alias("host"), url.registered_domain(url.host(u)).alias("domain"), url.path_and_query(u).alias("path"), url.bare(u).alias("bare"), url.to_https(u).alias("secure"), url.without_tracking(u).alias("clean"), url.root_page(u).alias("root"))
@@ -373,7 +375,7 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+(?:[-''’][\p{L}\p{M}]+)*')) AS w FROM documents), g AS (SELECT lang, substr(' ' || w || ' ', CAST(i AS INTEGER), 3) AS trigram FROM w, LATERAL (SELECT unnest(generate_series(1, length(w))) AS i))
+@query(r"""WITH w AS (SELECT lang, translate(w, '-''’', '   ') AS w FROM (SELECT lang, regexp_extract(unnest(regexp_split_to_array(lower(text), '[\s\p{Z}]+')), '^[\p{Ps}\p{Pi}"]?([\p{L}\p{M}''’-]+)[\p{P}]*$', 1) AS w FROM documents) WHERE w <> ''), g AS (SELECT lang, substr(' ' || w || ' ', CAST(i AS INTEGER), 3) AS trigram FROM w, LATERAL (SELECT unnest(generate_series(1, length(w))) AS i))
 SELECT lang, trigram, count(*) AS freq FROM g GROUP BY lang, trigram""")
 def trigram_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langdetect.train(table(spark, sf_dir, "documents"), "lang", "text")
@@ -457,3 +459,12 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), "page_id").alias("url"), F.expr("CASE WHEN page_id % 10 = 9 THEN concat('p', page_id - 9) WHEN page_id % 10 = 4 THEN 'x' ELSE concat('p', page_id + 1) END").alias("target"))
     found = trees.redirect_paths(p.filter("page_id % 10 <= 4"))
     return found.select("url", "end", "loops")
+
+
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT user_id AS u, CAST(floor(value / 4) AS BIGINT) AS f FROM events), n AS (SELECT u, count(*) AS n FROM s GROUP BY u),
+p AS (SELECT a.u AS a, b.u AS b FROM s a JOIN s b ON a.f = b.f AND a.u < b.u JOIN n na ON na.u = a.u JOIN n nb ON nb.u = b.u GROUP BY a.u, b.u, na.n, nb.n HAVING 100 * count(*) >= 70 * greatest(na.n, nb.n)),
+o AS (SELECT u, row_number() OVER (ORDER BY u) AS k FROM n), g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL
+ SELECT g.k + 1, CASE WHEN list_contains(g.gone, o.u) THEN g.gone ELSE list_distinct(list_concat(g.gone, coalesce((SELECT list(b) FROM p WHERE p.a = o.u), []))) END FROM g JOIN o ON o.k = g.k + 1)
+SELECT unnest(gone) AS "user" FROM g WHERE k = (SELECT max(k) FROM g)""")
+def duplicate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.duplicate_users(catalog.similar_users(events(spark, sf_dir).select(F.col("user_id").alias("user"), F.floor(F.col("value") / 4).alias("feed"))))
