@@ -89,12 +89,13 @@ def initially_ignored(posts: DataFrame, now, newest: int = 10, days: int = 30) -
 
 
 def surrogate_ids(existing: DataFrame, wanted: DataFrame) -> DataFrame:
-    """existing(key, id), wanted(key, time): ids that are still wanted stay, new keys follow the largest id by time."""
-    kept = existing.join(wanted.select("key"), "key", "left_semi")
-    new = wanted.join(existing.select("key"), "key", "left_anti")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    given = new.withColumn("_n", F.row_number().over(Window.orderBy("time", "key"))).join(F.broadcast(top))  # one row
-    return kept.select("key", "id").unionByName(given.select("key", (F.col("_top") + F.col("_n")).alias("id")))
+    """existing(user, key, id), wanted(user, key, time): a user's ids that are still wanted stay, new keys follow the
+    user's largest id by time."""
+    kept = existing.join(wanted.select("user", "key"), ["user", "key"], "left_semi")
+    new = wanted.join(existing.select("user", "key"), ["user", "key"], "left_anti")
+    top = existing.groupBy("user").agg(F.max("id").alias("_top"))
+    given = new.withColumn("_n", F.row_number().over(Window.partitionBy("user").orderBy("time", "key"))).join(top, "user", "left")
+    return kept.select("user", "key", "id").unionByName(given.select("user", "key", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("long").alias("id")))
 
 
 def expired_accounts(users: DataFrame, now, days: int = 30, payer_days: int = 60) -> DataFrame:

@@ -65,13 +65,14 @@ def initially_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.initially_ignored(posts(spark, sf_dir), datetime.fromtimestamp(1_700_100_000, UTC))
 
 
-@query("""WITH have AS (SELECT c_custkey AS key, c_custkey * 2 + 1 AS id FROM customer WHERE c_custkey % 3 = 0), want AS (SELECT c_custkey AS key, c_nationkey AS t FROM customer WHERE c_custkey % 2 = 0),
-fresh AS (SELECT key, row_number() OVER (ORDER BY t, key) AS n FROM want WHERE key NOT IN (SELECT key FROM have))
-SELECT key, id FROM have WHERE key IN (SELECT key FROM want) UNION ALL SELECT key, n + (SELECT max(id) FROM have) FROM fresh""")
+@query("""WITH have AS (SELECT c_nationkey AS u, c_custkey AS key, c_custkey * 2 + 1 AS id FROM customer WHERE c_custkey % 3 = 0), want AS (SELECT c_nationkey AS u, c_custkey AS key, c_acctbal AS t FROM customer WHERE c_custkey % 2 = 0),
+fresh AS (SELECT u, key, row_number() OVER (PARTITION BY u ORDER BY t, key) AS n FROM want WHERE key NOT IN (SELECT key FROM have)), top AS (SELECT u, max(id) AS t FROM have GROUP BY u)
+SELECT u AS "user", key, id FROM have WHERE key IN (SELECT key FROM want) UNION ALL SELECT u, key, CAST(n + coalesce(t, 0) AS BIGINT) FROM fresh LEFT JOIN top USING (u)""")
 def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    have = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") * 2 + 1).alias("id"))
-    return actions.surrogate_ids(have, c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("time")))
+    user = F.col("c_nationkey").alias("user")
+    have = c.filter("c_custkey % 3 = 0").select(user, F.col("c_custkey").alias("key"), (F.col("c_custkey") * 2 + 1).alias("id"))
+    return actions.surrogate_ids(have, c.filter("c_custkey % 2 = 0").select(user, F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("time")))
 
 
 @query("""SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 5 > 1 UNION ALL SELECT c_custkey, 'NEW', c_acctbal + 1 FROM customer WHERE c_custkey % 5 = 1""")
