@@ -21,10 +21,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, texts
+from .common import dropped, partitions, staged, texts
 
 SPAN = 35
 #: Words of a minimiser; any SPAN words hold SPAN - ANCHOR + 1 runs of so many.
@@ -39,7 +39,7 @@ class _Hashes(dict):
     """Words to 64-bit hashes; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -94,16 +94,17 @@ def _least(a: np.ndarray, size: int) -> np.ndarray:
 
 
 def stretches(docs: list[list[bytes]], span: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Stretches of edges: document, first word, edges, minimiser; and all their edges' hashes in that order."""
+    """Stretches of edges: document, first word, edges, minimiser, first and last node; and all their edges' hashes in
+    that order."""
     known = _hashes()
     sizes = np.array([len(ws) for ws in docs], np.int64)
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64))
     if total < span:
         return none
     h = np.fromiter((known[w] for ws in docs for w in ws), np.uint64, total)
-    edges = _runs(h, span)
+    edges, nodes = _runs(h, span), _runs(h, span - 1)
     least = _least(_runs(h, anchor), span - anchor + 1)
     doc = np.repeat(np.arange(len(docs)), sizes)[: len(edges)]
     at = np.flatnonzero(np.arange(len(edges)) + span <= ends[doc])  # edges within one document
@@ -116,7 +117,7 @@ def stretches(docs: list[list[bytes]], span: int, anchor: int) -> tuple[np.ndarr
     first = np.flatnonzero(since % STRETCH == 0)
     n = np.diff(np.append(first, len(at)))
     begin = at[first]
-    return doc[begin], begin - (ends - sizes)[doc[begin]], n, least[begin], edges[at]
+    return doc[begin], begin - (ends - sizes)[doc[begin]], n, least[begin], nodes[begin], nodes[begin + n], edges[at]
 
 
 def _spread(n: np.ndarray) -> np.ndarray:
@@ -126,7 +127,7 @@ def _spread(n: np.ndarray) -> np.ndarray:
 
 def _emit(refs: np.ndarray, docs: list[list[bytes]], shards: int, span: int, anchor: int) -> pa.RecordBatch | None:
     """One row per shard: equal stretches once, with all their sources."""
-    doc, start, n, least, edges = stretches(docs, span, anchor)
+    doc, start, n, least, tail, tip, edges = stretches(docs, span, anchor)
     if not len(n):
         return None
     begin = np.cumsum(n) - n
@@ -140,44 +141,81 @@ def _emit(refs: np.ndarray, docs: list[list[bytes]], shards: int, span: int, anc
     sources = np.diff(np.append(heads, len(order)))
     own = order[heads]  # a stretch for each content
     picked = np.repeat(begin[own], n[own]) + _spread(n[own])
-    tags = edges[picked].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAG]
+    short = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAG]
+    tags, nodes = short(edges[picked]), short(np.stack([tail[own], tip[own]], axis=1).ravel())
     of = shard[heads]
     bounds = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
     edge_at, source_at = np.append(0, np.cumsum(n[own])), np.append(0, np.cumsum(sources))
-    rows: dict[str, list] = {k: [] for k in ("shard", "least", "n", "sources", "tags", "ref", "start")}
+    rows: dict[str, list] = {k: [] for k in ("shard", "least", "n", "sources", "nodes", "tags", "ref", "start")}
     least_, n_, sources_, ref_, start_ = least[own].astype("<u8"), n[own].astype(np.uint8), sources.astype("<u4"), refs[doc[order]].astype("<i8"), start[order].astype("<u4")
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         rows["shard"].append(int(of[a]))
-        for k, x in (("least", least_[a:b]), ("n", n_[a:b]), ("sources", sources_[a:b]), ("tags", tags[edge_at[a] : edge_at[b]]), ("ref", ref_[source_at[a] : source_at[b]]), ("start", start_[source_at[a] : source_at[b]])):
+        for k, x in (("least", least_[a:b]), ("n", n_[a:b]), ("sources", sources_[a:b]), ("nodes", nodes[2 * a : 2 * b]), ("tags", tags[edge_at[a] : edge_at[b]]), ("ref", ref_[source_at[a] : source_at[b]]), ("start", start_[source_at[a] : source_at[b]])):
             rows[k].append(x.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in list(rows)[1:])], list(rows))
 
 
 def _segments(t: pa.Table) -> pa.Table:
-    """The repeated edges of a shard: a row for each source of each segment, ref and first word << 32 | edges."""
+    """The repeated edges of a shard as segments, a row for each of their sources: ref, first word << 32 | edges, the
+    segment's number, and the nodes at which it may go on (none where the next edge is known not to be repeated)."""
     join = lambda k, kind: np.frombuffer(b"".join(t.column(k).to_pylist()), kind)
+
+    def wide(k: str) -> np.ndarray:
+        x = join(k, np.uint8).reshape(-1, TAG)
+        return np.concatenate([x, np.zeros((len(x), 8 - TAG), np.uint8)], axis=1).reshape(-1).view("<u8")
+
     least, n, sources = join("least", "<u8"), join("n", np.uint8).astype(np.int64), join("sources", "<u4").astype(np.int64)
-    ref, start = join("ref", "<i8"), join("start", "<u4").astype(np.int64)
-    tags = np.zeros((int(n.sum()), 8), np.uint8)
-    tags[:, :TAG] = join("tags", np.uint8).reshape(-1, TAG)
-    tags = tags.reshape(-1).view("<u8")
+    ref, start, tags, nodes = join("ref", "<i8"), join("start", "<u4").astype(np.int64), wide("tags"), wide("nodes").reshape(-1, 2)
     _, which = np.unique(least, return_inverse=True)
-    alone = (np.bincount(which, sources * np.maximum(n, 1)) < 2)[which]  # one edge with this minimiser
+    alone = (np.bincount(which, sources * n) < 2)[which]  # one edge with this minimiser
     busy = np.repeat(~alone, n)
-    key = _mix(np.repeat(least, n)[busy], tags[busy])
-    _, which = np.unique(key, return_inverse=True)
+    key = _mix(np.repeat(least, n), tags)
+    _, which = np.unique(key[busy], return_inverse=True)
     twice = np.zeros(len(tags), bool)
-    twice[busy] = (np.bincount(which, np.repeat(sources, n)[busy]) >= 2)[which] if len(key) else False
-    content = np.repeat(np.arange(len(n)), n)
-    begins = twice.copy()
+    twice[busy] = (np.bincount(which, np.repeat(sources, n)[busy]) >= 2)[which] if len(which) else False
+    content, offsets = np.repeat(np.arange(len(n)), n), _spread(n)
+    begins, ends = twice.copy(), twice.copy()
     begins[1:] &= ~(twice[:-1] & (content[1:] == content[:-1]))
-    ends = twice.copy()
     ends[:-1] &= ~(twice[1:] & (content[1:] == content[:-1]))
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    of, offset, length = content[first], _spread(n)[first], last - first + 1
+    of, offset, length = content[first], offsets[first], last - first + 1
     copies = sources[of]
     source = np.repeat((np.cumsum(sources) - sources)[of], copies) + _spread(copies)
-    return pa.table({"ref": ref[source], "at": (start[source] + np.repeat(offset, copies)) << 32 | np.repeat(length, copies)})
+    number = _mix(_mix(key[first], key[last]), length.astype(np.uint64)).view(np.int64)
+    node = lambda at, open_: pa.array(np.repeat(nodes[of, at].view(np.int64), copies), mask=np.repeat(~open_, copies))
+    return pa.table(
+        {
+            "ref": ref[source],
+            "at": (start[source] + np.repeat(offset, copies)) << 32 | np.repeat(length, copies),
+            "segment": np.repeat(number, copies),
+            "tail": node(0, offset == 0),
+            "tip": node(1, offset + length == n[of]),
+        }
+    )
+
+
+def compacted(segments: DataFrame) -> DataFrame:
+    """segments(segment, tail, tip) -> (segment, path): segments that follow one another at unbranched nodes.
+
+    One join finds each segment's only successor; further ones double the pointers, twice a step, until all have reached their path's
+    end. Paths that close upon themselves stay in segments."""
+    own = segments.distinct()
+    one = lambda side: own.filter(F.col(side).isNotNull()).groupBy(F.col(side).alias("node")).agg(F.count("*").alias("n"), F.first("segment").alias(side)).filter("n = 1")
+    nexts = staged(one("tip").select("node", F.col("tip").alias("segment")).join(one("tail").select("node", F.col("tail").alias("next")), "node").select("segment", "next").filter("segment <> next"), "successors")
+    now, rounds = nexts, max(1, nexts.count()).bit_length() // 2 + 1
+    for _ in range(rounds):
+        to = now.select(F.col("segment").alias("next"), F.col("next").alias("after"))
+        twice = now.join(to, "next", "left").select("segment", F.coalesce("after", "next").alias("next"), F.col("after").isNotNull().alias("on"))
+        far = twice.select(F.col("segment").alias("next"), F.col("next").alias("after"))
+        moved = staged(twice.join(far, "next", "left").select("segment", F.coalesce("after", "next").alias("next"), (F.col("on") | F.col("after").isNotNull()).alias("more")), "paths")
+        dropped(now)
+        now = moved.select("segment", "next")
+        if not moved.filter("more").limit(1).count():
+            break
+    else:  # what still moves is a ring
+        ends = moved.filter("NOT more").select("segment", "next")
+        return ends.select("segment", F.col("next").alias("path"))
+    return now.select("segment", F.col("next").alias("path"))
 
 
 def _ref() -> Column:
@@ -186,7 +224,7 @@ def _ref() -> Column:
 
 
 def spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """ref (see ``_ref``) and the segments at its repeated edges; rows without any are left out."""
+    """ref (see ``_ref``) and the spans of its repeated edges (first word << 32 | edges); rows without any are left out."""
     spark = docs.sparkSession
     rows = docs.select(_ref().alias("ref"), "text")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -211,9 +249,17 @@ def spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
         if held and (out := _emit(np.array(refs, np.int64), held, shards, span, anchor)):
             yield out
 
-    dealt = rows.mapInArrow(edges, "shard long, least binary, n binary, sources binary, tags binary, ref binary, start binary")
-    found = dealt.groupBy("shard").applyInArrow(_segments, "ref long, at long")
-    return staged(found.groupBy("ref").agg(F.collect_list("at").alias("at")), "spans")
+    dealt = rows.mapInArrow(edges, "shard long, least binary, n binary, sources binary, nodes binary, tags binary, ref binary, start binary")
+    found = staged(dealt.groupBy("shard").applyInArrow(_segments, "ref long, at long, segment long, tail long, tip long"), "segments")
+    paths = staged(compacted(found.select("segment", "tail", "tip")), "segment-paths")
+    # source coordinates: where a path's segments do follow one another in a text, they are one span of it
+    on = found.select("ref", "at", "segment").join(paths, "segment", "left")
+    on = on.select("ref", F.coalesce("path", "segment").alias("path"), F.shiftright("at", 32).alias("first"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("n"))
+    in_text = Window.partitionBy("ref", "path").orderBy("first")
+    new = F.when(F.lag(F.col("first") + F.col("n")).over(in_text) == F.col("first"), 0).otherwise(1)
+    whole = on.repartition("ref").distinct().withColumn("new", new).withColumn("span", F.sum("new").over(in_text))
+    whole = whole.groupBy("ref", "path", "span").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    return staged(whole.groupBy("ref").agg(F.collect_list(F.shiftleft("first", 32).bitwiseOR(F.col("n"))).alias("at")), "spans")
 
 
 def strip(text: str | None, at: list[int] | None, span: int = SPAN) -> tuple[int, int, str]:
