@@ -102,3 +102,26 @@ def expired_accounts(users: DataFrame, now, days: int = 30, payer_days: int = 60
     """Users to archive: expired long enough and without saved queries; users(user, paid_till, ever_paid, queries)."""
     wait = F.when(F.col("ever_paid"), payer_days).otherwise(days)
     return users.filter((F.unix_timestamp("paid_till") + wait * 86400 < F.unix_timestamp(F.lit(now))) & (F.col("queries") == 0))
+
+
+def skipped(walked: DataFrame, points: DataFrame, visible: DataFrame, read: DataFrame, tree: str = "tree") -> DataFrame:
+    """Read ranges (tree, lo, hi) of comments after the subtrees of the points are skipped, as far as they were visible
+    then; walked as by ``trees.preorder``, visible(tree, count)."""
+    from . import trees
+
+    below = trees.descendants(walked, points, tree).join(visible, tree).filter(F.col("idx") < F.col("count"))
+    return ranges.union(read, ranges.from_items(below, [tree], "idx"), [tree])
+
+
+def read_deltas(before: DataFrame, after: DataFrame, folders: DataFrame) -> DataFrame:
+    """What a change of read state (feed, post_idx, read) adds to the read counters of feeds and their folders; zeros are left out."""
+    b = before.select("feed", "post_idx", F.col("read").cast("int").alias("_b"))
+    change = after.join(b, ["feed", "post_idx"], "left").select("feed", (F.col("read").cast("int") - F.coalesce("_b", F.lit(0))).alias("d"))
+    feeds = change.groupBy("feed").agg(F.sum("d").alias("delta")).filter("delta <> 0")
+    up = feeds.join(folders, "feed").select(F.explode("folders").alias("name"), "delta").groupBy("name").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
+    return feeds.select(F.lit("feed").alias("kind"), F.col("feed").alias("name"), "delta").unionByName(up.select(F.lit("folder").alias("kind"), "name", "delta"))
+
+
+def imported(found: DataFrame, existing: DataFrame, folders: DataFrame) -> DataFrame:
+    """found(user, tag, item_id) of an import: new items of tags that are no folders, each once."""
+    return found.join(folders.select("user", F.col("folder").alias("tag")), ["user", "tag"], "left_anti").join(existing.select("user", "tag", "item_id"), ["user", "tag", "item_id"], "left_anti").distinct()

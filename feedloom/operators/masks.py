@@ -128,3 +128,47 @@ def widened(query_feeds: DataFrame, subscriptions: DataFrame, new_feeds: DataFra
     total = subscriptions.groupBy("user").agg(F.count_distinct("feed").alias("_all"))
     most = query_feeds.groupBy("user", "query_id").agg(F.count_distinct("feed").alias("_n")).join(total, "user").filter("2 * _n > _all")
     return query_feeds.unionByName(most.join(new_feeds, "user").select("user", "query_id", "feed")).distinct()
+
+
+def from_hits(hits: DataFrame, posts: DataFrame, comments: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Search hits by guid as mask rows: (feed, post_idx) and (feed, post_idx, idx).
+
+    hits(feed, post_guid, comment_guid); posts(feed, post_idx, guid, total) and comments(feed, post_idx, idx, guid) are
+    what is known now; versions(feed, post_idx, count) bounds a post's comments as of then. Where a post has as many
+    hits as comments, all of its comments match without being looked up."""
+    known = posts.filter("post_idx < total").select("feed", F.col("guid").alias("post_guid"), "post_idx")
+    own = hits.join(known, ["feed", "post_guid"])
+    matched = own.filter("comment_guid IS NULL").select("feed", "post_idx").distinct()
+    below = own.filter("comment_guid IS NOT NULL").join(versions, ["feed", "post_idx"])
+    some = below.groupBy("feed", "post_idx", "count").agg(F.count_distinct("comment_guid").alias("_n"))
+    whole = some.filter((F.col("_n") >= F.col("count")) & (F.col("count") > 0)).select("feed", "post_idx", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("idx"))
+    part = some.filter(F.col("_n") < F.col("count")).select("feed", "post_idx")
+    looked = below.join(part, ["feed", "post_idx"], "left_semi").join(comments.select("feed", "post_idx", "idx", F.col("guid").alias("comment_guid")), ["feed", "post_idx", "comment_guid"])
+    found = looked.filter(F.col("idx") < F.col("count")).select("feed", "post_idx", "idx").distinct()
+    return matched, whole.withColumn("idx", F.col("idx").cast("int")).unionByName(found.withColumn("idx", F.col("idx").cast("int")))
+
+
+def comment_ranges(posts: DataFrame, ignored: DataFrame) -> DataFrame:
+    """All comments of posts that are not ignored as ranges (feed, post_idx, lo, hi); posts(feed, post_idx, comments)."""
+    kept = posts.join(ignored.select("feed", "post_idx"), ["feed", "post_idx"], "left_anti").filter("comments > 0")
+    return kept.select("feed", "post_idx", F.lit(0).cast("long").alias("lo"), (F.col("comments") - 1).cast("long").alias("hi"))
+
+
+#: Saved queries that a user may have.
+MOST_QUERIES = 500
+
+
+def save_query(saved: DataFrame, new: DataFrame) -> DataFrame:
+    """saved and new (user, query, negate, feeds): the same text and sense is one query with the feeds of both; a user's
+    queries beyond the first MOST_QUERIES are not taken."""
+    from pyspark.sql import Window
+
+    rows = saved.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    one = rows.groupBy("user", "query", "negate").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("feeds")))).alias("feeds"), F.min("_new").alias("_new"))
+    place = F.row_number().over(Window.partitionBy("user").orderBy("_new", "query", "negate"))
+    return one.withColumn("_n", place).filter((F.col("_new") == 0) | (F.col("_n") <= MOST_QUERIES)).drop("_new", "_n")
+
+
+def without_feeds(saved_feeds: DataFrame, removed: DataFrame) -> DataFrame:
+    """(user, query_id, feed) without feeds that are no longer read; queries without feeds are gone with their rows."""
+    return saved_feeds.join(removed.select("user", "feed"), ["user", "feed"], "left_anti")

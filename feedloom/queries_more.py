@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, ids, langdetect, text, url
-from .operators import actions, catalog, merge, ordered, ranges, rollups, trees
-from .queries import events, posts, query, table
-from .queries import _POSTS  # noqa: PLC2701
+from .operators import actions, catalog, lookup, masks, merge, ordered, ranges, rollups, schedule, trees
+from .queries import _POSTS, _tree, events, posts, query, table
 from .sources import feeds as feed_sources
 from .sources import sinks
 from .streaming import upsert
@@ -262,8 +261,6 @@ def merged_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 top AS (SELECT k, max(id) AS t FROM have GROUP BY k)
 SELECT c_nationkey AS k, c_name AS name, CAST(coalesce(t, 0) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS BIGINT) AS id FROM customer LEFT JOIN top ON k = c_nationkey WHERE c_custkey % 2 = 1""")
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"), "c_custkey")
     have = c.filter("c_custkey % 2 = 0").withColumn("id", F.row_number().over(Window.partitionBy("k").orderBy("c_custkey")).cast("long"))
     return ordered.next_ids(have, c, "name", "id", ["k"])
@@ -469,3 +466,80 @@ o AS (SELECT u, row_number() OVER (ORDER BY u) AS k FROM n), g AS (SELECT CAST(0
 SELECT unnest(gone) AS "user" FROM g WHERE k = (SELECT max(k) FROM g)""")
 def duplicate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.duplicate_users(catalog.similar_users(events(spark, sf_dir).select(F.col("user_id").alias("user"), F.floor(F.col("value") / 4).alias("feed"))))
+
+
+# --- hits, saved queries, deltas, lookups, schedule
+
+
+@query("""WITH c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS n FROM conversations), h AS (SELECT * FROM c WHERE (conv_id % 4 = 0 OR (conv_id + turn) % 3 = 0) AND conv_id % 7 <> 1),
+v AS (SELECT conv_id, greatest(max(turn) - 1, 0) AS cnt FROM c GROUP BY conv_id), k AS (SELECT h.conv_id, count(*) AS k FROM h WHERE turn > 0 GROUP BY h.conv_id)
+SELECT conv_id AS post_idx, CAST(NULL AS INTEGER) AS idx FROM h WHERE turn = 0
+UNION ALL SELECT v.conv_id, CAST(unnest(generate_series(0, cnt - 1)) AS INTEGER) FROM v JOIN k USING (conv_id) WHERE k >= cnt AND cnt > 0
+UNION ALL SELECT h.conv_id, CAST(turn - 1 AS INTEGER) FROM h JOIN v USING (conv_id) JOIN k USING (conv_id) WHERE k < cnt AND turn > 0 AND turn - 1 < cnt""")
+def hits_to_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns found by guid, the first as post and the others as comments, the last of which came later."""
+    c = table(spark, sf_dir, "conversations").withColumn("feed", F.lit("f")).withColumn("guid", F.concat_ws("/", "conv_id", "turn"))
+    first = F.concat_ws("/", F.col("conv_id"), F.lit(0))
+    hits = c.filter("(conv_id % 4 = 0 OR (conv_id + turn) % 3 = 0) AND conv_id % 7 <> 1").select("feed", first.alias("post_guid"), F.expr("CASE WHEN turn > 0 THEN guid END").alias("comment_guid"))
+    p = c.filter("turn = 0").select("feed", F.col("conv_id").alias("post_idx"), "guid", F.lit(10**9).alias("total"))
+    comments = c.filter("turn > 0").select("feed", F.col("conv_id").alias("post_idx"), (F.col("turn") - 1).alias("idx"), "guid")
+    versions = c.groupBy("feed", F.col("conv_id").alias("post_idx")).agg(F.greatest(F.max("turn") - 1, F.lit(0)).alias("count"))
+    posts_, found = masks.from_hits(hits, p, comments, versions)
+    return posts_.select("post_idx", F.lit(None).cast("int").alias("idx")).unionByName(found.select("post_idx", "idx"))
+
+
+@query("""WITH s AS (SELECT user_id % 15 AS u, event_type AS q, event_id % 2 = 0 AS neg, 'f' || (event_id % 6) AS f FROM events WHERE value < 20 OR event_id % 3 = 0)
+SELECT u AS "user", q AS query, neg AS negate, string_agg(DISTINCT f, ',' ORDER BY f) AS feeds FROM s GROUP BY u, q, neg""")
+def saved_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select((F.col("user_id") % 15).alias("user"), F.col("event_type").alias("query"), (F.col("event_id") % 2 == 0).alias("negate"), F.array(F.concat(F.lit("f"), F.col("event_id") % 6)).alias("feeds"), "value", "event_id")
+    old, new = e.filter("value < 20").drop("value", "event_id"), e.filter("value >= 20 AND event_id % 3 = 0").drop("value", "event_id")
+    return masks.save_query(old, new).withColumn("feeds", F.array_join("feeds", ","))
+
+
+@query(f"""WITH {_POSTS}, d AS (SELECT feed, CAST(sum(CAST(doc_id % 4 = 0 AS INTEGER) - CAST(doc_id % 3 = 0 AS INTEGER)) AS BIGINT) AS delta FROM posts WHERE doc_id % 5 < 3 GROUP BY feed)
+SELECT 'feed' AS kind, feed AS name, delta FROM d WHERE delta <> 0 UNION ALL SELECT 'folder', CASE WHEN feed < 'src3' THEN 'low' ELSE 'high' END AS f, CAST(sum(delta) AS BIGINT) FROM d GROUP BY f HAVING sum(delta) <> 0""")
+def read_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = posts(spark, sf_dir)
+    before, after = p.select("feed", "post_idx", F.expr("doc_id % 3 = 0").alias("read")), p.filter("doc_id % 5 < 3").select("feed", "post_idx", F.expr("doc_id % 4 = 0").alias("read"))
+    folders = p.select("feed").distinct().withColumn("folders", F.array(F.when(F.col("feed") < "src3", "low").otherwise("high")))
+    return actions.read_deltas(before, after, folders)
+
+
+@query("""SELECT DISTINCT user_id AS "user", event_type AS tag, event_id % 100 AS item_id FROM events WHERE event_type <> 'error' AND (user_id, event_type, event_id % 100) NOT IN (SELECT user_id, event_type, event_id % 100 FROM events WHERE value > 50)""")
+def imported_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select(F.col("user_id").alias("user"), F.col("event_type").alias("tag"), (F.col("event_id") % 100).alias("item_id"), "value")
+    return actions.imported(e.drop("value"), e.filter("value > 50"), e.select("user", F.lit("error").alias("folder")).distinct())
+
+
+@query("""SELECT c_custkey AS feed, CASE WHEN c_custkey % 13 = 0 THEN 'Deleted posts' WHEN c_custkey % 11 = 0 THEN 'No more scanning' WHEN c_custkey % 7 = 0 AND c_custkey % 2 = 0 THEN 'A week of errors' WHEN c_custkey % 5 = 0 THEN 'No title'
+WHEN c_mktsegment = 'BUILDING' THEN 'Bad title' WHEN c_nationkey = 0 THEN 'Empty feed' WHEN c_nationkey = 1 THEN 'Single post feed' END AS reason FROM customer""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    t = lambda days: F.timestamp_seconds(F.lit(int(NOW.timestamp()) - days * 86400))
+    rows = c.select(
+        F.col("c_custkey").alias("feed"), F.expr("c_custkey % 13 = 0").alias("is_deleted"), F.when(F.expr("c_custkey % 11 <> 0"), t(0)).alias("next_scan"), F.when(F.expr("c_custkey % 7 = 0"), F.when(F.expr("c_custkey % 2 = 0"), t(8)).otherwise(t(6))).alias("error_since"),
+        F.when(F.expr("c_custkey % 5 <> 0"), F.col("c_name")).alias("title"), (F.col("c_mktsegment") == "BUILDING").alias("bad"), F.col("c_nationkey").alias("posts"),
+    )
+    return lookup.quality_gate(rows, NOW).select("feed", "reason")
+
+
+@query("""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY floor((k - 1) / w), event_type, event_id) AS INTEGER) AS turn
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k, CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS w FROM events)""")
+def dispatch_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select(F.col("user_id").alias("host"), F.col("event_type").alias("kind"), F.col("event_id").alias("time"), F.lit("").alias("url"))
+    return schedule.dispatch_order(e, {"view": 3, "click": 2}).select(F.col("host").alias("user_id"), F.col("time").alias("event_id"), "turn")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, CAST(o_custkey AS DOUBLE) * 3600 AS age FROM orders) SELECT k, round(CASE WHEN age < 10800 THEN 900 * (1 + age / 3600) WHEN age < 604800 THEN 3600 * (1 + age / 604800) WHEN age < 2592000 THEN 3600 * (2 + age / 2592000) ELSE least(604800, 3600 * (1 + 2 * age / 2592000)) END, 6) AS posts,
+round(CASE WHEN age < 18000 THEN 1200 * (1 + age / 3600) ELSE 3600 * (2 + age / 86400) END, 6) AS comments FROM a""")
+def scan_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") * 3600.0).alias("age"))
+    return o.select("k", F.round(dates.next_posts_scan(F.col("age")), 6).alias("posts"), F.round(dates.next_comments_scan(F.col("age")), 6).alias("comments"))
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT conv_id AS tree, turn AS idx, [turn] AS ids FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, list_append(w.ids, c.turn) FROM conversations c JOIN w ON c.conv_id = w.tree AND w.idx = CASE WHEN c.turn % 3 = 0 THEN 0 ELSE c.turn - 1 END AND c.turn > 0)
+SELECT k AS tree, lo, hi FROM ({_islands("SELECT tree AS k, idx AS x FROM w WHERE list_contains(ids, 1) AND idx < 5 UNION SELECT conv_id, turn FROM conversations WHERE turn = 0")})""")
+def skipped_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tree(spark, sf_dir)
+    read = ranges.from_items(t.filter("idx = 0"), ["tree"], "idx")
+    return actions.skipped(trees.paths(t), t.filter("idx = 1"), t.select("tree").distinct().withColumn("count", F.lit(5)), read)
