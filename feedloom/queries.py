@@ -12,7 +12,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import actions, catalog, counters, listing, masks, merge, model, ordered, ranges, rollups, trees
+from .operators import counters, listing, masks, model, ranges, trees
 from .plans import textquery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
