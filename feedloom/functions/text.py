@@ -131,12 +131,48 @@ def blacklisted(title: Column, stop: list[list[str]]) -> Column:
     return out
 
 
-#: Substrings of user agents, the first that fits naming the browser or system.
-BROWSERS = (("Edg", "Edge"), ("OPR/", "Opera"), ("Opera", "Opera"), ("YaBrowser", "Yandex"), ("Vivaldi", "Vivaldi"), ("Firefox", "Firefox"), ("Chrome", "Chrome"), ("Safari", "Safari"), ("MSIE", "IE"), ("Trident", "IE"))
-SYSTEMS = (("iPhone", "iPhone"), ("iPad", "iPad"), ("Android", "Android"), ("Windows", "Windows"), ("Mac OS X", "macOS"), ("CrOS", "ChromeOS"), ("Linux", "Linux"))
-
-
-def first_fit(text: Column, table: tuple[tuple[str, str], ...], other: str = "Other") -> Column:
+#: Substrings of lower-cased user agents in order; the first that fits names the browser.
+BROWSERS = (
+    ("ipad", "iPad"), ("ipod", "iPod"), ("iphone", "iPhone"), ("opera mini", "OperaMini"), ("opera", "Opera"), ("edge", "Edge"), ("iemobile", "IEMobile"), ("msie", "IE"), ("trident", "IE"),
+    ("firefox", "Firefox"), ("conkeror", "Firefox"), ("iceweasel", "Firefox"), ("seamonkey", "Firefox"), ("vivaldi", "Vivaldi"), ("chrome", "Chrome"), ("safari", "Safari"), ("android", "Android"),
+)
+#: The same for the system.
+SYSTEMS = (
+    ("ios", "iOS"), ("ipad", "iOS"), ("iphone", "iOS"), ("ipod", "iOS"), ("cfnetwork", "iOS"), ("darwin/", "iOS"), ("mac", "Mac"), ("windows", "Windows"), ("android", "Android"), ("dalvik", "Android"),
+    ("cros", "ChromeOS"), ("linux", "Linux"), ("x11", "Linux"),
+)
+#: Substrings of client name and user agent, and the app; systems that an app implies.
+APPS = (
+    ("feeddler", "Feeddler"), ("reeder", "Reeder"), ("feedme", "FeedMe"), ("fiery", "FieryFeeds"), ("netnewswire", "NetNewsWire"), ("mr. reader", "MrReader"), ("unread", "Unread"), ("lire", "Lire"),
+    ("focusreader", "FocusReader"), ("justreader", "JustReader"), ("newsplus", "NewsPlus"), ("vienna", "Vienna"), ("readkit", "ReadKit"), ("slowfeeds", "SlowFeeds"), ("slow feeds", "SlowFeeds"),
+    ("slow%20feeds", "SlowFeeds"), ("web subscriber", "WebSubscriber"), ("newsjet", "NewsJet"), ("amber", "Amber"), ("readably", "Readably"), ("fluent-reader", "FluentReader"), ("ravenreader", "RavenReader"),
+    ("okhttp", "okhttp"), ("gzip", "gzip"),
+)
+APP_SYSTEMS = {
+    "iOS": ("Feeddler", "FieryFeeds", "MrReader", "Unread", "Lire", "SlowFeeds", "WebSubscriber"), "Android": ("FeedMe", "FocusReader", "JustReader", "NewsPlus", "NewsJet", "Amber", "Readably"), "Mac": ("Vienna",),
+    "Unknown": ("NetNewsWire", "okhttp", "gzip"),
+}
+
+
+def browser(agent: Column) -> Column:
+    return first_fit(F.lower(agent), BROWSERS)
+
+
+def system(agent: Column) -> Column:
+    a = F.lower(agent)
+    return F.when(F.contains(a, F.lit("darwin/")) & F.contains(a, F.lit("x86_64")), "Mac").otherwise(first_fit(a, SYSTEMS))
+
+
+def app(client: Column, agent: Column) -> Column:
+    """struct(app, system): the system that the app implies, else the user agent's."""
+    name = first_fit(F.lower(F.concat_ws(" ", client, agent)), APPS)
+    of = system(agent)
+    for os, apps in APP_SYSTEMS.items():
+        of = F.when(name.isin(*apps), os).otherwise(of)
+    return F.struct(name.alias("app"), of.alias("system"))
+
+
+def first_fit(text: Column, table: tuple[tuple[str, str], ...], other: str = "Unknown") -> Column:
     return F.coalesce(*(F.when(F.contains(text, F.lit(k)), v) for k, v in table), F.lit(other))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .udf import arrow
 
-#: Query parameters that only track.
+#: Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_cid", "utm_reader", "PHPSESSID", "SID", "ASPSESSIONID", "ncid")
 #: Public suffixes of two labels under which names are registered.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "com.tr", "co.in", "com.ua")

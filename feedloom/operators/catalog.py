@@ -13,7 +13,7 @@ def subscriber_stats(subs: DataFrame) -> DataFrame:
     return subs.groupBy("feed", "country").agg(F.count_distinct("user").alias("users"), F.count_distinct(F.when(F.col("paid"), F.col("user"))).alias("paid_users"))
 
 
-#: Countries whose users weigh half.
+#: Countries whose users weigh half.
 HALF = ("RU", "UA", "BY")
 
 

@@ -25,9 +25,9 @@ class QuerySyntaxError(ValueError):
     pass
 
 
-#: Quotation marks of many scripts, all of which quote.
+#: Quotation marks of many scripts, all of which quote.
 QUOTES = "“”„«»‹›〈〉《》「」『』【】〔〕〖〗〘〙〚〛〝〞〟"
-#: Characters after which a new word begins.
+#: Characters after which a new word begins.
 RESERVED = "+-=&|><!(){}[]^\"~:\\/"
 _UNITS = re.compile(r"\\.|[*?]|.", re.S)
 

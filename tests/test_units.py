@@ -126,7 +126,7 @@ def test_texts(spark):
             "short": text.first_words(F.lit("one two three four"), 9), "all": text.first_words(F.lit("one two"), 99), "long": text.first_words(F.lit("x" * 80), 20), "n": text.short_number(F.lit(1234)), "k": text.short_number(F.lit(3000)), "small": text.short_number(F.lit(949)),
             "dur": text.duration(F.lit(3723)), "size": text.file_size(F.lit(1536)), "one": text.file_size(F.lit(1)), "int": text.integer(F.lit(" 42 ")), "bad": text.integer(F.lit("4x")), "sent": text.sentences(F.lit("Is 3.5 it? Yes! so")), "words": text.words(F.lit("(Don't stop, x-ray! 5th a.b")),
             "tri": text.trigrams(F.lit("a-b")), "css": text.css(F.lit("Color: red; width:1px;color:blue")), "tag": text.tag(F.lit("01. News"), {"news": "news!"}), "b58": text.base58(F.unhex(F.lit("0000287fb4cd"))), "html": text.html_text(F.lit("<p>a &amp; b<br>c</p><script>x</script>")),
-            "link": text.linkify(F.lit("see www.a.com. <b>")), "safe": text.sanitise(F.lit("<p onclick='x'>a</p><script>b</script>")), "ua": text.first_fit(F.lit("Mozilla Chrome/1 Safari/2"), text.BROWSERS), "set": text.srcset(F.lit("a.png 1x, b.png 2x"))[1]["descriptor"], "nfc": text.nfc(F.lit("é")),
+            "link": text.linkify(F.lit("see www.a.com. <b>")), "safe": text.sanitise(F.lit("<p onclick='x'>a</p><script>b</script>")), "ua": text.browser(F.lit("Mozilla Chrome/1 Safari/2")), "set": text.srcset(F.lit("a.png 1x, b.png 2x"))[1]["descriptor"], "nfc": text.nfc(F.lit("é")),
         },
     )
     assert got["short"] == "one two three …" and got["all"] == "one two" and got["long"] == "x" * 50 + "…"
