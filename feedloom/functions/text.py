@@ -56,6 +56,50 @@ def first_words(text: Column, most: int, longest: int = 50) -> Column:
     return F.aggregate(parts, start, add, lambda a: a["said"])
 
 
+_END = tuple(".!?…")
+
+
+def _width(word: str) -> int:
+    return max(len(word) // 2 + 1, sum(1 for c in word if c != "\u00ad" and unicodedata.category(c) != "Mn"))
+
+
+def opening(text: str | None, most: int, longest: int = 50) -> str:
+    """The first paragraph by whole sentences up to ``most`` letters, and the next ones while less than a third is used.
+
+    A sentence that does not fit is cut as in ``first_words``, or is an ellipsis only if little room was left."""
+    room, said = most, []
+    for paragraph in (p.split() for p in (text or "").split("\n") if p.strip()):
+        if said and (room <= 0 or most - room >= most // 3):
+            break
+        ends = [i + 1 for i, w in enumerate(paragraph) if w.endswith(_END) or i + 1 == len(paragraph)]
+        for begin, end in zip([0, *ends], ends, strict=False):
+            left, words_ = room, []
+            for i in range(begin, end):
+                w, n = paragraph[i], _width(paragraph[i])
+                if n < left:
+                    words_.append(w)
+                    left -= n + 1
+                    continue
+                if room < most // 3:
+                    words_ = ["…"]
+                elif n > longest:
+                    words_.append(w[: max(longest, left)].rstrip("\u00ad") + "…")
+                else:
+                    words_ += [w, "…"] if i + 1 < len(paragraph) else [w]
+                return " ".join([*said, *words_])
+            said += words_
+            room = left
+    return " ".join(said)
+
+
+def first_paragraph(text: Column, most: int) -> Column:
+    @arrow("string")
+    def cut(c: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else opening(x, most) for x in c.to_pylist()], pa.string())
+
+    return cut(text)
+
+
 def short_text(text: Column, view: Column) -> Column:
     """How much a view shows of a text."""
     return F.when(view == "compact", first_words(text, 375)).when(view == "magazine", first_words(text, 300)).when(view == "mosaic", first_words(text, 100)).otherwise(first_words(text, 66))

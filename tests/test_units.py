@@ -136,6 +136,13 @@ def test_texts(spark):
     assert got["link"] == 'see <a href="http://www.a.com">www.a.com</a>. &lt;b&gt;' and got["safe"] == "<p>a</p>" and got["ua"] == "Chrome" and got["set"] == "2x" and got["nfc"] == "é"
 
 
+def test_openings(spark):
+    assert text.opening("One two. Three four.\nNext one.", 100) == "One two. Three four. Next one."
+    assert text.opening("One two. Three four.\nNext one.", 20) == "One two. Three four."
+    assert text.opening("aa bb cc dd ee ff gg.", 9) == "aa bb cc dd …" and text.opening(None, 5) == ""
+    assert values(spark, {"p": text.first_paragraph(F.lit("A b.\nC"), 50)})["p"] == "A b. C"
+
+
 def test_ids(spark):
     rows = spark.createDataFrame([(0, 0, None), (5, 7, None), (5, 7, 0), (1, 2, 16383), (3, (1 << 26) - 1, 9)], "f long, p long, c long")
     got = rows.withColumn("item", ids.pack(F.col("f"), F.col("p"), F.col("c"))).withColumn("u", ids.unpack(F.col("item"))).collect()
