@@ -28,8 +28,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: Distinct pieces that a worker remembers, and bytes of text that it takes at once.
-CACHE, AT_ONCE = 2_000_000, 8 << 20
+CACHE, AT_ONCE = 2_000_000, 2 << 20
 
 #: Pieces that normalising only lower-cases, and how such pieces fall into words.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -264,7 +266,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -281,4 +283,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(said_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidy
 from .url_filters import with_parts
 
 LOW = 0.3
@@ -197,7 +197,7 @@ def importances(pages: DataFrame) -> DataFrame:
                 ["host", "path", "role", "text", "feature", "pages"],
             )
 
-    found = pages.select("host", "html").mapInArrow(features, "host string, path string, role int, text int, feature long, pages long")
+    found = pages.select("host", "html").mapInArrow(tidy(features), "host string, path string, role int, text int, feature long, pages long")
     counted = found.groupBy("host", "path", "text", "feature").agg(F.sum("pages").alias("k"), F.max("role").alias("role"))
     sums = counted.groupBy("host", "path").agg(
         F.max("role").alias("role"),
@@ -249,4 +249,4 @@ def extracted(pages: DataFrame, low: float = LOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = rows.join(poor, "host", "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(run, f"page_id {joined.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return joined.mapInArrow(tidy(run), f"page_id {joined.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: Payloads are multiples of so many bytes.
 UNIT = 576
 WIDEST = 64  # MCUs in a row
@@ -326,7 +328,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 data = [(t or "").encode() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array([encode(padded(x)) for x in data], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def tensors(media: DataFrame) -> DataFrame:
@@ -339,7 +341,7 @@ def tensors(media: DataFrame) -> DataFrame:
                 wide, high, parts, _ = coefficients(b.column("media")[i].as_py())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), pa.array([wide]), pa.array([high]), pa.array([tensor(wide, high, parts).tobytes()], pa.binary())], ["doc_id", "width", "height", "rgb"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, width long, height long, rgb binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, width long, height long, rgb binary")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -361,4 +363,4 @@ def features(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import tidy
 
 CAPACITY = 2048
 END_ID = 1
@@ -98,5 +99,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.Table.from_arrays([pa.array(columns[0], t.column("doc_id").type), *(pa.array(x, pa.int64()) for x in columns[1:])], names)
 
-    pieces = rows.mapInArrow(tokens, f"doc_id {id_type}, g long, start long, length long, crc long, doc_tokens long, ids binary")
+    pieces = rows.mapInArrow(tidy(tokens), f"doc_id {id_type}, g long, start long, length long, crc long, doc_tokens long, ids binary")
     return pieces.groupBy(F.col("g")).applyInArrow(fill, PIECES.format(id=id_type))

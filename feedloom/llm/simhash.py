@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, staged, texts
+from .common import dropped, staged, texts, tidy
 from .components import components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in texts(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, find: dict) -> None:
@@ -160,7 +160,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFra
         u, v = (np.array([e[k] for e in found], np.uint64).view(np.int64) for k in (0, 1))
         return pa.table({"u": u, "v": v})
 
-    return packed.mapInArrow(pairs, "pair long, fps array<long>").groupBy("pair").applyInArrow(compare, "u long, v long")
+    return packed.mapInArrow(tidy(pairs), "pair long, fps array<long>").groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, staged, texts
+from .common import dropped, partitions, staged, texts, tidy
 
 SPAN = 35
 #: Words of a minimiser; any SPAN words hold SPAN - ANCHOR + 1 runs of so many.
 ANCHOR = 12
 #: Words that a worker hashes at once, texts' bytes for each shard of edges, and edges of a stretch at most: its first and last edge cover all its words.
-STEP, SHARD_BYTES, STRETCH = 400_000, 8 << 20, 32
+STEP, SHARD_BYTES, STRETCH = 200_000, 8 << 20, 32
 #: Bytes of an edge's own hash that travel.
 TAG = 6
 
@@ -249,7 +249,7 @@ def spans(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
         if held and (out := _emit(np.array(refs, np.int64), held, shards, span, anchor)):
             yield out
 
-    dealt = rows.mapInArrow(edges, "shard long, least binary, n binary, sources binary, nodes binary, tags binary, ref binary, start binary")
+    dealt = rows.mapInArrow(tidy(edges), "shard long, least binary, n binary, sources binary, nodes binary, tags binary, ref binary, start binary")
     found = staged(dealt.groupBy("shard").applyInArrow(_segments, "ref long, at long, segment long, tail long, tip long"), "segments")
     paths = staged(compacted(found.select("segment", "tail", "tip")), "segment-paths")
     # source coordinates: where a path's segments do follow one another in a text, they are one span of it
