@@ -19,8 +19,8 @@ not read.
 from __future__ import annotations
 
 import json
-import os
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,12 +33,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .common import new_path, partitions, tidy
 
 FOLDS, HELD = 7, 2
 DISCOUNT = 0.75
 #: Bytes of text that a worker takes at once, and of text for each file of a level.
-AT_ONCE, FILE_BYTES = 8 << 20, 16 << 20
+AT_ONCE, FILE_BYTES = 4 << 20, 16 << 20
 #: The end token's hash: no word has a line break.
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: Quantised log10 probabilities reach down to this.
@@ -151,12 +151,15 @@ def _write(path: str, parts: dict[str, EliasFano | np.ndarray]) -> None:
         head[k] = {"n": getattr(x, "n", None), "width": getattr(x, "width", None), "arrays": spec}
     said = json.dumps(head).encode()
     said += b" " * (-(len(said) + 8) % 8)
-    new = f"{name}.{os.getpid()}"
+    new = f"{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(new) as f:
         f.write(len(said).to_bytes(8, "little") + said)
         for a in arrays:
             f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-    store.move(new, name)
+    if store.get_file_info(name).type == fs.FileType.NotFound:
+        store.move(new, name)
+    else:  # another attempt of the same task was first
+        store.delete_file(new)
 
 
 @lru_cache(maxsize=4096)
@@ -311,7 +314,7 @@ def words(docs: DataFrame, path: str, shards: int) -> Words:
         _write(name, {"hashes": EliasFano.of(keys), "sums": EliasFano.of(np.append(0, np.cumsum(counts)).astype(np.uint64))})
         return pa.table({"shard": [key[0].as_py()], "path": [name], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    made = docs.mapInArrow(count, _BLOBS).groupBy("shard").applyInArrow(put, "shard long, path string, n long, tokens long")
+    made = docs.mapInArrow(tidy(count), _BLOBS).groupBy("shard").applyInArrow(put, "shard long, path string, n long, tokens long")
     return Words([tuple(r) for r in made.collect()], shards)  # a row for each file
 
 
@@ -402,7 +405,7 @@ def bigrams(docs: DataFrame, level: Words, path: str, shards: int) -> Bigrams:
         row = {"path": name, "first": Decimal(int(keys[0])), "first_context": int(of[0]), "first_kinds": int(kinds[0]), "last_context": int(of[-1]), "last_kinds": int(kinds[-1])}
         return pa.Table.from_pylist([row], pa.schema([("path", pa.string()), ("first", pa.decimal128(20, 0)), *((k, pa.int64()) for k in ("first_context", "first_kinds", "last_context", "last_kinds"))]))
 
-    made = docs.mapInArrow(count, _BLOBS).groupBy("shard").applyInArrow(put, "path string, first decimal(20,0), first_context long, first_kinds long, last_context long, last_kinds long")
+    made = docs.mapInArrow(tidy(count), _BLOBS).groupBy("shard").applyInArrow(put, "path string, first decimal(20,0), first_context long, first_kinds long, last_context long, last_kinds long")
     return Bigrams(level, [r.asDict() | {"first": int(r["first"])} for r in made.collect()], texts)  # a row for each file
 
 
@@ -453,4 +456,4 @@ def scored(docs: DataFrame, model: Bigrams | None = None) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
