@@ -93,17 +93,22 @@ def build(listed: list[str], universe: DataFrame) -> Cascade:
         return Cascade([])
     yes = hashed(listed)
     rate = min(0.5, max(1e-9, len(listed) / max(1, universe.count())))
-    first = Bloom(*yes, rate, 1)
     own = set(zip(*(x.tolist() for x in yes), strict=True))
-
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h1, h2 = (np.asarray(b.column(k), np.int64).view(np.uint64) for k in (0, 1))
-            at = np.flatnonzero(first.holds(h1, h2))
-            at = [i for i in at.tolist() if (int(h1[i]), int(h2[i])) not in own]
-            yield b.take(pa.array(at, pa.int64()))
-
-    wrong = universe.select("h1", "h2").mapInArrow(passing, "h1 long, h2 long").collect()  # about as many as are listed
+    bound = 4 * len(listed) + 1000
+    while True:  # as a rule once: about as many false positives as listed keys are expected
+        first = Bloom(*yes, rate, 1)
+
+        def passing(batches: Iterator[pa.RecordBatch], first: Bloom = first) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h1, h2 = (np.asarray(b.column(k), np.int64).view(np.uint64) for k in (0, 1))
+                at = np.flatnonzero(first.holds(h1, h2))
+                at = [i for i in at.tolist() if (int(h1[i]), int(h2[i])) not in own]
+                yield b.take(pa.array(at, pa.int64()))
+
+        wrong = universe.select("h1", "h2").mapInArrow(passing, "h1 long, h2 long").limit(bound + 1).collect()
+        if len(wrong) <= bound:
+            break
+        rate /= 8
     no = tuple(np.array([r[k] for r in wrong], np.int64).view(np.uint64) for k in (0, 1))
     levels, inside, outside = [first], no, yes
     while len(inside[0]):
