@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 BASE_SECONDS = 1_700_000_000
 
 
-def posts_of_documents(docs: DataFrame) -> DataFrame:
-    """documents as posts: feed = source, idx from 0 by doc_id, time = a fixed base + doc_id seconds."""
+def post_index(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, post_idx): each source's documents numbered from 0 by doc_id, in a window of two columns."""
     idx = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    return docs.select(
-        F.col("source").alias("feed"), idx.cast("int").alias("post_idx"), "doc_id", F.col("lang"), "text", words.alias("words"),
-        F.timestamp_seconds(F.lit(BASE_SECONDS) + F.col("doc_id")).alias("time"), "n_chars",
-    )
+    return docs.select("doc_id", "source", idx.cast("int").alias("post_idx"))
+
+
+def posts_of_documents(docs: DataFrame, words: bool = True) -> DataFrame:
+    """documents as posts: feed = source, idx from 0 by doc_id, time = a fixed base + doc_id seconds.
+
+    Texts are not sorted by feed to be numbered: what a query asks of them is answered before the join with the index,
+    and only the columns that are left move. The words come out of a generator of one row: predicates on them stay above
+    it, so a text is split once however often a query names its words."""
+    rows = docs.select("doc_id", "source", "lang", "text", F.timestamp_seconds(F.lit(BASE_SECONDS) + F.col("doc_id")).alias("time"), "n_chars")
+    if words:
+        split = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+        rows = rows.select("*", F.explode(F.array(split)).alias("words"))
+    return rows.join(post_index(docs), ["doc_id", "source"]).withColumnRenamed("source", "feed")
 
 
 def comments_of_conversations(conv: DataFrame) -> DataFrame:

@@ -33,8 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.posts_of_documents(table(spark, sf_dir, "documents"))
+def posts(spark: SparkSession, sf_dir: str, words: bool = True) -> DataFrame:
+    return model.posts_of_documents(table(spark, sf_dir, "documents"), words)
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feed, post_idx and doc_id of the posts alone."""
+    return model.post_index(table(spark, sf_dir, "documents")).withColumnRenamed("source", "feed")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +100,7 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved query behind the filters, unread only, newest first: one page."""
     p = posts(spark, sf_dir)
     found = p.filter(compiled(STREAMS)[0]["predicate"] & F.col("feed").isin(STREAMS[0]["feeds"]))
-    shown = masks.unread(masks.globally_visible(found, compiled(FILTERS)), read_posts(p))
+    shown = masks.unread(masks.globally_visible(found, compiled(FILTERS)), read_posts(index(spark, sf_dir)))
     page = listing.merged(shown.withColumn("feed_id", F.substring("feed", 4, 9).cast("int")), listing.PAGE)
     return page.select("feed", "post_idx", "doc_id", F.unix_seconds("time").alias("t"))
 
@@ -105,7 +110,7 @@ SELECT feed, count(*) AS total, count(*) FILTER (NOT read) AS unread FROM hits G
 def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
     found = masks.stream_matches(p, compiled(STREAMS[:1]), compiled(FILTERS)).select("feed", "post_idx")
-    left = masks.unread(found, read_posts(p)).withColumn("u", F.lit(1))
+    left = masks.unread(found, read_posts(index(spark, sf_dir))).withColumn("u", F.lit(1))
     return found.join(left, ["feed", "post_idx"], "left").groupBy("feed").agg(F.count("*").alias("total"), F.count("u").alias("unread"))
 
 
@@ -157,7 +162,7 @@ cb AS (SELECT feed, post_idx, k AS idx FROM m JOIN mb USING (feed), (VALUES (0),
 
 
 def _two_masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    p = posts(spark, sf_dir).select("feed", "post_idx", "doc_id")
+    p = posts(spark, sf_dir, words=False).select("feed", "post_idx", "doc_id")
     n = F.substring("feed", 4, 9).cast("int")
     feeds = p.select("feed").distinct().withColumn("n", n)
     a = feeds.filter("n < 15").select(F.lit("a").alias("owner"), "feed", F.expr("CASE WHEN n = 3 THEN 'error' ELSE 'ok' END").alias("state"), F.expr("n % 2 = 0").alias("expanded"))
@@ -210,7 +215,7 @@ def comment_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT posts.feed, post_idx FROM posts JOIN feeds USING (feed) WHERE (post_idx >= lo AND doc_id % 2 = 0 AND posts.feed NOT IN ('src1', 'src2')) OR doc_id % 7 = 0""")
 def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old matches without two edited feeds and evicted posts, and the new matches."""
-    p = posts(spark, sf_dir)
+    p = posts(spark, sf_dir, words=False)
     feeds = model.feeds_of(p).withColumn("lo", F.col("hi") - 29)
     edited = spark.createDataFrame([("src1",), ("src2",)], "feed string")
     return masks.appended(p.filter("doc_id % 2 = 0"), p.filter("doc_id % 7 = 0"), edited, feeds)
@@ -238,7 +243,7 @@ r AS (SELECT feed, post_idx, post_idx - row_number() OVER (PARTITION BY feed ORD
 SELECT feed, CAST(min(post_idx) AS BIGINT) AS lo, CAST(max(post_idx) AS BIGINT) AS hi FROM r GROUP BY feed, g""")
 def masks_over_read_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
-    return masks.overlaid(p, masks.globally_visible(p, compiled(FILTERS)), read_posts(p))
+    return masks.overlaid(p, masks.globally_visible(p, compiled(FILTERS)), read_posts(index(spark, sf_dir)))
 
 
 # --- interval sets: per order, the line numbers of cheap and of discounted lines
@@ -317,7 +322,7 @@ def range_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_POSTS} SELECT feed, count(*) AS total, count(*) FILTER (read) AS read, arg_min(post_idx, (t, post_idx)) FILTER (NOT read) AS first_unread,
 arg_max(post_idx, (t, post_idx)) FILTER (NOT read) AS last_unread FROM posts GROUP BY feed""")
 def feed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counters.feed_counters(posts(spark, sf_dir).withColumn("read", F.expr("doc_id % 3 = 0 OR doc_id % 11 = 0")))
+    return counters.feed_counters(posts(spark, sf_dir, words=False).withColumn("read", F.expr("doc_id % 3 = 0 OR doc_id % 11 = 0")))
 
 
 _FOLDERS = """c AS (SELECT source AS feed, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS read, CAST(sum(n_chars) AS BIGINT) AS comments, CAST(substr(source, 4) AS INTEGER) AS n FROM documents GROUP BY source),
@@ -368,7 +373,7 @@ def changed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY t DESC, CAST(substr(feed, 4) AS INTEGER), post_idx DESC LIMIT 100""")
 def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred posts that follow a cursor, newest first."""
-    p = posts(spark, sf_dir).withColumn("feed_id", F.substring("feed", 4, 9).cast("int"))
+    p = posts(spark, sf_dir, words=False).withColumn("feed_id", F.substring("feed", 4, 9).cast("int"))
     page = listing.merged(p, 100, point=(datetime.fromtimestamp(1_700_000_500, UTC), 3, 20))
     return page.select("feed", "post_idx", F.unix_seconds("time").alias("t"))
 
@@ -377,7 +382,7 @@ def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT feed, post_idx FROM posts LEFT JOIN o USING (feed) ORDER BY pos NULLS LAST, CAST(substr(feed, 4) AS INTEGER), t DESC, post_idx DESC LIMIT 120""")
 def grouped_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = spark.createDataFrame([("src7", 1), ("src3", 2), ("src12", 3)], "feed string, pos int")
-    return listing.grouped(posts(spark, sf_dir).withColumn("feed_id", F.substring("feed", 4, 9).cast("int")), order, 120).select("feed", "post_idx")
+    return listing.grouped(posts(spark, sf_dir, words=False).withColumn("feed_id", F.substring("feed", 4, 9).cast("int")), order, 120).select("feed", "post_idx")
 
 
 @query("""WITH f AS (SELECT DISTINCT source AS feed FROM documents), o(feed, pos) AS (VALUES ('src7', 1), ('src3', 2))

@@ -47,7 +47,7 @@ def marked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_POSTS} SELECT k AS feed, lo, hi FROM ({_islands("SELECT feed AS k, post_idx AS x FROM posts WHERE doc_id % 3 = 0 UNION SELECT feed, post_idx FROM posts WHERE (t, -CAST(substr(feed, 4) AS INTEGER), post_idx) > (1700000400, -5, 18) AND lang = 'en'")})""")
 def marked_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All English posts above a point marked read."""
-    p = posts(spark, sf_dir).withColumn("feed_id", F.substring("feed", 4, 9).cast("int"))
+    p = posts(spark, sf_dir, words=False).withColumn("feed_id", F.substring("feed", 4, 9).cast("int"))
     read = ranges.from_items(p.filter("doc_id % 3 = 0"), ["feed"], "post_idx")
     return actions.mark_feed_read(p, read, matches=p.filter("lang = 'en'"), point=(datetime.fromtimestamp(1_700_000_400, UTC), 5, 18))
 
@@ -61,7 +61,7 @@ def replayed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_POSTS}, n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY t DESC, post_idx DESC) AS n FROM posts)
 SELECT k AS feed, lo, hi FROM ({_islands('SELECT feed AS k, post_idx AS x FROM n WHERE n > 10')})""")
 def initially_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions.initially_ignored(posts(spark, sf_dir), datetime.fromtimestamp(1_700_100_000, UTC))
+    return actions.initially_ignored(posts(spark, sf_dir, words=False), datetime.fromtimestamp(1_700_100_000, UTC))
 
 
 @query("""WITH have AS (SELECT c_nationkey AS u, c_custkey AS key, c_custkey * 2 + 1 AS id FROM customer WHERE c_custkey % 3 = 0), want AS (SELECT c_nationkey AS u, c_custkey AS key, c_acctbal AS t FROM customer WHERE c_custkey % 2 = 0),
@@ -279,7 +279,7 @@ def fetched_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_POSTS}, r AS (SELECT *, max(post_idx) OVER (PARTITION BY feed) AS hi FROM posts) SELECT feed, post_idx FROM r WHERE post_idx > hi - 20 OR doc_id % 9 = 0""")
 def retained_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir)
+    p = posts(spark, sf_dir, words=False)
     return ordered.retained(p, 20, tagged=p.filter("doc_id % 9 = 0"))[0].select("feed", "post_idx")
 
 
@@ -418,7 +418,7 @@ def page_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts written as one Atom document per feed and parsed again."""
-    p = posts(spark, sf_dir).withColumn("subject", F.concat(F.lit("Post "), F.col("post_idx").cast("string"))).withColumn("guid", F.col("doc_id").cast("string"))
+    p = posts(spark, sf_dir, words=False).withColumn("subject", F.concat(F.lit("Post "), F.col("post_idx").cast("string"))).withColumn("guid", F.col("doc_id").cast("string"))
     return feed_sources.parsed(sinks.atom(p)).select("feed", F.explode("items").alias("i")).select("feed", "i.guid", "i.subject", F.length("i.body").alias("n"), F.unix_seconds("i.published").alias("t"))
 
 
@@ -499,7 +499,7 @@ def saved_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_POSTS}, d AS (SELECT feed, CAST(sum(CAST(doc_id % 4 = 0 AS INTEGER) - CAST(doc_id % 3 = 0 AS INTEGER)) AS BIGINT) AS delta FROM posts WHERE doc_id % 5 < 3 GROUP BY feed)
 SELECT 'feed' AS kind, feed AS name, delta FROM d WHERE delta <> 0 UNION ALL SELECT 'folder', CASE WHEN feed < 'src3' THEN 'low' ELSE 'high' END AS f, CAST(sum(delta) AS BIGINT) FROM d GROUP BY f HAVING sum(delta) <> 0""")
 def read_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir)
+    p = posts(spark, sf_dir, words=False)
     before, after = p.select("feed", "post_idx", F.expr("doc_id % 3 = 0").alias("read")), p.filter("doc_id % 5 < 3").select("feed", "post_idx", F.expr("doc_id % 4 = 0").alias("read"))
     folders = p.select("feed").distinct().withColumn("folders", F.array(F.when(F.col("feed") < "src3", "low").otherwise("high")))
     return actions.read_deltas(before, after, folders)
