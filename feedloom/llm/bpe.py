@@ -116,24 +116,25 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Store:
     """Id sequences by 64-bit hash, in a few plain arrays."""
 
-    def __init__(self) -> None:
-        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+    def __init__(self, id_type: str) -> None:
+        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, id_type)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each is known, where its ids start, and how many they are."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.starts[at], self.sizes[at].astype(np.int64)
+        return self.keys[at] == keys, self.starts[at].astype(np.int64), self.sizes[at].astype(np.int64)
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         if not len(keys):
             return
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.append(self.ids, ids).astype("<u4")
-        keys, starts, sizes = np.append(self.keys, keys), np.append(self.starts, starts), np.append(self.sizes, sizes)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.starts, self.sizes = keys[order], starts[order], sizes[order].astype(np.int32)
+        starts = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.uint32)
+        self.ids = np.append(self.ids, ids.astype(self.ids.dtype))
+        order = np.argsort(keys, kind="stable")  # few new ones among many
+        keys = keys[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.sizes = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.starts, starts[order]), (self.sizes, sizes[order].astype(np.uint32))))
 
 
 class Encoder:
@@ -160,7 +161,8 @@ class Encoder:
         self.ranks = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             self.ranks.setdefault(self.vocab[a] << 32 | self.vocab[b], (rank, self.vocab[a + b]))
-        self.known, self.merged = Store(), Store()  # of pieces and of words
+        self.id_type = "<u2" if max(self.tokens) < 1 << 16 else "<u4"
+        self.known, self.merged = Store(self.id_type), Store(self.id_type)  # of pieces and of words
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256 on
         others = [b for b in range(256) if b not in plain]
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
@@ -218,7 +220,7 @@ class Encoder:
         hashes = _hashed(distinct)
         new = np.flatnonzero(~self.known.find(hashes)[0])
         if len(new) + len(self.known.keys) > CACHE:
-            self.known, self.merged = Store(), Store()
+            self.known, self.merged = Store(self.id_type), Store(self.id_type)
             new = np.arange(len(distinct))
         cut = [self.words(distinct[i]) for i in new.tolist()]
         ids, sizes = self.learn([w for ws in cut for w in ws])
@@ -227,7 +229,7 @@ class Encoder:
         _, starts, sizes = self.known.find(hashes)
         which = np.asarray(coded.indices, np.int64)
         sizes = sizes[which]
-        flat = self.known.ids[_places(starts[which], sizes)]
+        flat = self.known.ids[_places(starts[which], sizes)].astype("<u4")
         ends = np.append(0, np.cumsum(sizes))
         return flat, ends[np.cumsum(np.asarray(pieces.value_lengths(), np.int64))]
 
