@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import tidy
 
 #: Distinct pieces that a worker remembers, and bytes of text that it takes at once.
-CACHE, AT_ONCE = 2_000_000, 2 << 20
+CACHE, AT_ONCE = 2_000_000, 6 << 20
 
 #: Pieces that normalising only lower-cases, and how such pieces fall into words.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")

@@ -71,7 +71,7 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     @wraps(f)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: large arrays go back when freed
+            ctypes.CDLL("libc.so.6").mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: large arrays go back when freed
         yield from f(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):

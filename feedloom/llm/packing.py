@@ -65,7 +65,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, by_index=False)
         dealt = 0
-        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+        for b in (whole.slice(at, 4096) for whole in batches for at in range(0, whole.num_rows, 4096)):
             out: dict[str, list] = {k: [] for k in ("doc_id", "g", "start", "length", "crc", "doc_tokens", "ids")}
             for doc_id, x in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").fill_null("")), strict=True):
                 ids = np.append(x, np.uint32(END_ID)).astype("<u4")
