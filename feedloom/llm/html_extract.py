@@ -9,9 +9,11 @@ Elements and classes whose role is known (ROLES) have their importance fixed bef
 whose pages are copies of each other, shows no entropy to judge by. Inside an article or main element only such roles
 are removed, so that an article is whole however often it is repeated.
 
-Statistics are counted by (host, node, feature) with a combine in each batch and before the shuffle, so a host with a
-third of all pages is as many rows as it has features; the tables that a host's pages need are the low nodes only, and
-Spark itself broadcasts them if small or splits a hot host's pages if not.
+Pages of a host with the same nodes and texts, apart from removed branches, count as one, however many copies there
+are; a host with fewer than LEAST such pages keeps all text of unknown role. Statistics are distinct by (host, page,
+node, feature), combined in each batch and before the shuffle, then counted by (host, node, feature) likewise, so no
+task has a whole host; the tables that a host's pages need are the low nodes only, and Spark itself broadcasts them if
+small or splits a hot host's pages if not.
 
 Defined results: null and empty html has an empty text. Broken markup is read as browsers do: an unfinished tag at the
 end is dropped, unclosed elements end with their parent. Null urls are one host. Repeated rows and ids are pages of
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,8 @@ from .url_filters import with_parts
 
 LOW = 0.3
 GAMMA = 0.9
+#: A host with fewer distinct pages shows too little to judge by.
+LEAST = 4
 #: Deeper elements count as their ancestor of this depth.
 DEPTH = 32
 
@@ -163,12 +166,13 @@ def parse(source: str | None) -> Node:
     return root
 
 
-def nodes(root: Node) -> Iterator[Node]:
+def nodes(root: Node, live: bool = False) -> Iterator[Node]:
+    """All nodes, or those outside branches of role 0."""
     todo = [root]
     while todo:
         n = todo.pop()
         yield n
-        todo += [p for p in n.parts if isinstance(p, Node)]
+        todo += [p for p in n.parts if isinstance(p, Node) and not (live and p.role == 0)]
 
 
 def node_id(path: str) -> int:
@@ -176,41 +180,45 @@ def node_id(path: str) -> int:
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """host, node, importance of every style node whose role is unknown, for pages(host, html)."""
+    """host, node, importance of every style node outside removed branches whose role is unknown, for pages(host, html);
+    none for a host of fewer than LEAST distinct pages."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
+            seen: set = set()
+            own: set = set()
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                own = set()
-                for n in nodes(parse(source)):
-                    said = [p for p in n.parts if isinstance(p, str)]
-                    below = [p.path for p in n.parts if isinstance(p, Node)]
-                    own.update((host, n.path, n.role, 1, node_id(s)) for s in said)
+                tree = list(nodes(parse(source), live=True))
+                page = node_id("\0".join(x for n in tree for x in (n.path, *(p for p in n.parts if isinstance(p, str)))))
+                if (host, page) in seen:
+                    continue
+                seen.add((host, page))
+                own.add((host, page, "", None, 2, page))
+                for n in tree:
+                    below = [p.path for p in n.parts if isinstance(p, Node) and p.role != 0]
+                    own.update((host, page, n.path, n.role, 1, node_id(p)) for p in n.parts if isinstance(p, str))
                     if below:
-                        own.add((host, n.path, n.role, 0, node_id("|".join(below))))
-                seen.update(own)
-            rows = list(seen.items())
-            columns = list(zip(*(k for k, _ in rows), strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)] + [pa.array([v for _, v in rows], pa.int64())],
-                ["host", "path", "role", "text", "feature", "pages"],
-            )
-
-    found = pages.select("host", "html").mapInArrow(tidy(features), "host string, path string, role int, text int, feature long, pages long")
-    counted = found.groupBy("host", "path", "text", "feature").agg(F.sum("pages").alias("k"), F.max("role").alias("role"))
+                        own.add((host, page, n.path, n.role, 0, node_id("|".join(below))))
+            columns = list(zip(*own, strict=True)) if own else [()] * 6
+            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "path", "role", "text", "feature"])
+
+    found = pages.select("host", "html").mapInArrow(tidy(features), "host string, page long, path string, role int, text int, feature long")
+    # copies are one page; by two shuffles, so that what every page of a host shares is combined before the second
+    counted = found.distinct().groupBy("host", "path", "text", "feature").agg(F.count("*").alias("k"), F.max("role").alias("role"))
     sums = counted.groupBy("host", "path").agg(
         F.max("role").alias("role"),
         F.sum(F.when(F.col("text") == 0, F.col("k"))).alias("m"),
         F.sum(F.when(F.col("text") == 0, F.col("k") * F.log("k"))).alias("m_log"),
         F.count(F.when(F.col("text") == 1, 1)).alias("texts"),
         F.sum(F.when(F.col("text") == 1, F.log("k"))).alias("logs"),
+        F.count(F.when(F.col("text") == 2, 1)).alias("size"),
     )
-    # pages of a host bound every text's pages; log base m, one page: importance 1
-    size = pages.groupBy("host").agg(F.count("*").alias("size"))
-    own = sums.join(size, "host")
-    log_size = F.log(F.greatest(F.col("size"), F.lit(2)))
-    content = F.when(F.col("texts") > 0, 1 - F.col("logs") / F.col("texts") / log_size)
+    sums = staged(sums, "style-sums")
+    # distinct pages of a host bound every text's pages
+    size = sums.filter(f"size >= {LEAST}").select("host", "size")
+    own = sums.drop("size").join(size, "host")
+    content = F.when(F.col("texts") > 0, 1 - F.col("logs") / F.col("texts") / F.log("size"))
     shown = F.when(F.col("m") > 1, (F.log("m") - F.col("m_log") / F.col("m")) / F.log(F.greatest(F.col("m"), F.lit(2)))).when(F.col("m") == 1, 1.0)
     own = staged(own.select("host", "path", "role", content.alias("content"), shown.alias("shown")), "style-nodes")
     # what lies below, from the nodes that have text

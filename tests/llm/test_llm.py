@@ -151,6 +151,16 @@ def test_entropy_tells_menus_from_content(spark):
     assert {r.text for r in html_extract.extracted(df).collect()} == {f"story {i} told once" for i in range(30)}
 
 
+def test_copies_count_once(spark):
+    shell = "<body><div class=top>Home</div><div class=text><p>{}</p></div></body>"
+    pages = [(i, f"http://one.org/{i}", shell.format("the only story")) for i in range(40)]
+    pages += [(i, f"http://five.org/{i}", shell.format(f"story {i % 5}")) for i in range(100, 500)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extracted(df).collect()}
+    assert {got[i] for i in range(40)} == {"Home\nthe only story"}  # one distinct page: nothing to judge by
+    assert all(got[i] == f"story {i % 5}" for i in range(100, 500))
+
+
 def test_extraction_on_the_pages(spark, sf):
     for r in html_extract.extracted(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub("<[a-z/!][^>]*$", "", r.html.partition("<article>")[2].partition("</article>")[0])
