@@ -5,9 +5,10 @@ presentation importance is the entropy, to the base of its pages, of the child s
 text of its own has a content importance, one less the mean entropy of its texts over the pages. A composite of the
 two and of what lies below tells content from presentation; branches of low importance go from each page.
 
-Elements and classes whose role is known (ROLES) have their importance fixed beforehand: a host with one page, or one
-whose pages are copies of each other, shows no entropy to judge by. Inside an article or main element only such roles
-are removed, so that an article is whole however often it is repeated.
+Elements and classes whose role is known to be none (NOT_CONTENT) are removed beforehand. All other text is judged by
+its node's importance, most of it its own content's and SHARE of it the composite of the node above; article and main
+elements are a prior: text within one stays down to LOW less PRIOR, text beside one from LOW plus PRIOR on. An article
+in a removed branch is none.
 
 Pages of a host with the same nodes and texts, apart from removed branches, count as one, however many copies there
 are; a host with fewer than LEAST such pages keeps all text of unknown role. Statistics are distinct by (host, page,
@@ -37,6 +38,9 @@ from .url_filters import with_parts
 
 LOW = 0.3
 GAMMA = 0.9
+#: Part of a text's importance that is its surroundings', and what an article takes off LOW inside and adds outside.
+SHARE = 0.1
+PRIOR = 0.1
 #: A host with fewer distinct pages shows too little to judge by.
 LEAST = 4
 #: Deeper elements count as their ancestor of this depth.
@@ -52,13 +56,15 @@ ENDED_BY = {"p": BLOCKS - {"button", "object", "iframe", "noscript", "script", "
 #: What stops the search for an element to end.
 SCOPES = frozenset("table td th ul ol dl article section aside nav main div body select".split())
 
-#: Roles that are known: importance 0 for elements and class words, 1 for the article itself.
+#: Roles that are known: 0, removed, for elements and class words, 1 for the article itself.
 NOT_CONTENT = frozenset("aside button dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
 NOT_CONTENT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 NOT_CONTENT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar sidebars social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: The path of such an element itself.
+CONTENT_PATH = r"/(article|main)(\.[^/]*)?$"
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -67,15 +73,14 @@ WORD = re.compile("[A-Za-z]+")
 
 @dataclass
 class Node:
-    """A block element: its style path, role (0, 1 or None if unknown), whether it lies in or holds an article, and, in
-    order, its texts and children."""
+    """A block element: its style path, role (0, 1 or None if unknown), whether it lies in an article, and, in order, its
+    texts and children."""
 
     tag: str
     path: str
     depth: int
     role: int | None = None
     inside: bool = False
-    holds: bool = False
     parts: list = field(default_factory=list)
 
 
@@ -149,9 +154,6 @@ def parse(source: str | None) -> Node:
         label = f"{name}.{style}" if style else name
         node = Node(name, f"{up.path}/{label}" if up.depth < DEPTH else up.path, min(up.depth + 1, DEPTH), role, up.inside or role == 1)
         up.parts.append(node)
-        if role == 1:
-            for n in stack:
-                n.holds = True
         if name in RAW:
             end = re.compile(f"</{name}[\\s/>]", re.I).search(source, at)
             stop = end.start() if end else len(source)
@@ -180,8 +182,8 @@ def node_id(path: str) -> int:
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """host, node, importance of every style node outside removed branches whose role is unknown, for pages(host, html);
-    none for a host of fewer than LEAST distinct pages."""
+    """host, node, importance of every style node with text outside removed branches, for pages(host, html); none for a
+    host of fewer than LEAST distinct pages."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,21 +195,20 @@ def importances(pages: DataFrame) -> DataFrame:
                 if (host, page) in seen:
                     continue
                 seen.add((host, page))
-                own.add((host, page, "", None, 2, page))
+                own.add((host, page, "", 2, page))
                 for n in tree:
                     below = [p.path for p in n.parts if isinstance(p, Node) and p.role != 0]
-                    own.update((host, page, n.path, n.role, 1, node_id(p)) for p in n.parts if isinstance(p, str))
+                    own.update((host, page, n.path, 1, node_id(p)) for p in n.parts if isinstance(p, str))
                     if below:
-                        own.add((host, page, n.path, n.role, 0, node_id("|".join(below))))
-            columns = list(zip(*own, strict=True)) if own else [()] * 6
-            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "path", "role", "text", "feature"])
+                        own.add((host, page, n.path, 0, node_id("|".join(below))))
+            columns = list(zip(*own, strict=True)) if own else [()] * 5
+            types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "path", "text", "feature"])
 
-    found = pages.select("host", "html").mapInArrow(tidy(features), "host string, page long, path string, role int, text int, feature long")
+    found = pages.select("host", "html").mapInArrow(tidy(features), "host string, page long, path string, text int, feature long")
     # copies are one page; by two shuffles, so that what every page of a host shares is combined before the second
-    counted = found.distinct().groupBy("host", "path", "text", "feature").agg(F.count("*").alias("k"), F.max("role").alias("role"))
+    counted = found.distinct().groupBy("host", "path", "text", "feature").agg(F.count("*").alias("k"))
     sums = counted.groupBy("host", "path").agg(
-        F.max("role").alias("role"),
         F.sum(F.when(F.col("text") == 0, F.col("k"))).alias("m"),
         F.sum(F.when(F.col("text") == 0, F.col("k") * F.log("k"))).alias("m_log"),
         F.count(F.when(F.col("text") == 1, 1)).alias("texts"),
@@ -220,40 +221,45 @@ def importances(pages: DataFrame) -> DataFrame:
     own = sums.drop("size").join(size, "host")
     content = F.when(F.col("texts") > 0, 1 - F.col("logs") / F.col("texts") / F.log("size"))
     shown = F.when(F.col("m") > 1, (F.log("m") - F.col("m_log") / F.col("m")) / F.log(F.greatest(F.col("m"), F.lit(2)))).when(F.col("m") == 1, 1.0)
-    own = staged(own.select("host", "path", "role", content.alias("content"), shown.alias("shown")), "style-nodes")
+    own = staged(own.select("host", "path", content.alias("content"), shown.alias("shown")), "style-nodes")
     # what lies below, from the nodes that have text
     leaves = own.filter("content IS NOT NULL").select("host", "content", F.split("path", "/").alias("names"))
     ups = leaves.select("host", "content", F.explode(F.transform(F.sequence(F.lit(1), F.size("names")), lambda n: F.array_join(F.slice("names", 1, n), "/"))).alias("path"))
     below = ups.groupBy("host", "path").agg(F.avg("content").alias("below"), F.count("*").alias("n"))
     weight = F.pow(F.lit(GAMMA), F.col("n"))
-    whole = own.join(below, ["host", "path"], "left").filter("role IS NULL")
-    value = F.coalesce("content", (1 - weight) * F.coalesce("shown", F.lit(1.0)) + weight * F.col("below"), F.lit(1.0))
-    return whole.select("host", "path", value.alias("importance"))
+    whole = own.join(below, ["host", "path"], "left")
+    composite = (1 - weight) * F.coalesce("shown", F.lit(1.0)) + weight * F.coalesce("below", F.lit(1.0))
+    whole = staged(whole.select("host", "path", "content", F.when(F.col("path").rlike(CONTENT_PATH), 1.0).otherwise(composite).alias("composite")), "style-composites")
+    above = whole.select("host", F.col("path").alias("up"), F.col("composite").alias("around"))
+    judged = whole.filter("content IS NOT NULL").withColumn("up", F.regexp_replace("path", "/[^/]*$", "")).join(above, ["host", "up"], "left")
+    return judged.select("host", "path", ((1 - SHARE) * F.col("content") + SHARE * F.coalesce("around", F.lit(1.0))).alias("importance"))
 
 
-def text_of(root: Node, low: set[str]) -> str:
-    """Blocks in page order; if the page has an article or main element, those within one."""
-    whole = any(n.role == 1 for n in nodes(root))
+def text_of(root: Node, importance: dict[str, float], low: float = LOW) -> str:
+    """Blocks in page order whose importance reaches ``low``, or what an article makes of it; 1 for nodes not told."""
+    whole = any(n.role == 1 for n in nodes(root, live=True))
     out: list[str] = []
     todo: list = [root]
     while todo:
         n = todo.pop()
         if isinstance(n, tuple):
             out.append(n[0])
-        elif n.role != 0 and (n.inside or n.holds or n.path not in low):
-            todo += [p if isinstance(p, Node) else (p,) for p in reversed(n.parts) if isinstance(p, Node) or n.inside or not whole]
+        elif n.role != 0:
+            least = low - PRIOR if n.inside else low + PRIOR if whole else low
+            said = importance.get(n.path, 1.0) >= least
+            todo += [p if isinstance(p, Node) else (p,) for p in reversed(n.parts) if isinstance(p, Node) or said]
     return "\n".join(out)
 
 
 def extracted(pages: DataFrame, low: float = LOW) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = with_parts(pages.select("page_id", "url", "html")).drop("path")
-    poor = importances(rows).filter(F.col("importance") < low)
-    poor = staged(poor.groupBy("host").agg(F.collect_set("path").alias("low")), "low-nodes")
+    poor = importances(rows).filter(F.col("importance") < low + PRIOR)
+    poor = staged(poor.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("low")), "low-nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [text_of(parse(h), set(p or ())) for h, p in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
+            out = [text_of(parse(h), dict(p or ()), low) for h, p in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = rows.join(poor, "host", "left").select("page_id", "url", "html", "low")

@@ -161,6 +161,16 @@ def test_copies_count_once(spark):
     assert all(got[i] == f"story {i % 5}" for i in range(100, 500))
 
 
+def test_importance_decides_in_and_beside_articles(spark):
+    page = "<body><div class=lead>lead {0} of its own</div><div class=top>Home</div><aside><article>teaser</article></aside><article><p>story {0}</p><div class=club>Join our club</div></article></body>"
+    pages = [(i, f"http://in.org/{i}", page.format(i)) for i in range(30)]
+    pages += [(i, f"http://aside.org/{i}", f"<body><aside><article>teaser</article></aside><div class=text>story {i}</div></body>") for i in range(100, 130)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extracted(df).collect()}
+    assert all(got[i] == f"lead {i} of its own\nstory {i}" for i in range(30))
+    assert all(got[i] == f"story {i}" for i in range(100, 130))
+
+
 def test_extraction_on_the_pages(spark, sf):
     for r in html_extract.extracted(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub("<[a-z/!][^>]*$", "", r.html.partition("<article>")[2].partition("</article>")[0])
