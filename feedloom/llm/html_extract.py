@@ -10,6 +10,10 @@ its node's importance, most of it its own content's and SHARE of it the composit
 elements are a prior: text within one stays down to LOW less PRIOR, text beside one from LOW plus PRIOR on. An article
 in a removed branch is none.
 
+A class or id counts as a whole, a number at its end aside, never on the body, and not on what holds a page's only
+articles; comments that are articles of their own go where the page has another article. Parts of a class
+(has-sidebar, article-header) are left to the entropy.
+
 Pages of a host with the same nodes and texts, apart from removed branches, count as one, however many copies there
 are; a host with fewer than LEAST such pages keeps all text of unknown role. Statistics are distinct by (host, page,
 node, feature), combined in each batch and before the shuffle, then counted by (host, node, feature) likewise, so no
@@ -73,32 +77,38 @@ WORD = re.compile("[A-Za-z]+")
 
 @dataclass
 class Node:
-    """A block element: its style path, role (0, 1 or None if unknown), whether it lies in an article, and, in order, its
-    texts and children."""
+    """A block element: its style path, role (0, 1 or None if unknown), whether it lies in an article, has its role by a
+    class or id alone, or holds an article, and, in order, its texts and children."""
 
     tag: str
     path: str
     depth: int
     role: int | None = None
     inside: bool = False
+    named: bool = False
+    holds: bool = False
     parts: list = field(default_factory=list)
 
 
-def _role(tag: str, attributes: str) -> tuple[int | None, str]:
-    """Role, and class words without numbers."""
+def _role(tag: str, attributes: str) -> tuple[int | None, str, bool]:
+    """Role, class words without numbers, and whether the role is by a class or id alone."""
     words: list[str] = []
+    tokens: set[str] = set()
     hidden = False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         value = "".join(values).lower()
         name = name.lower()
         if name in ("class", "id"):
             words += WORD.findall(value)
+            tokens.update(t.rstrip("0123456789-_") for t in value.split())
         elif name == "role" and value in NOT_CONTENT_ROLES:
             hidden = True
     style = ".".join(sorted(set(words)))
-    if hidden or tag in NOT_CONTENT or (tag not in CONTENT and NOT_CONTENT_WORDS.intersection(words)):
-        return 0, style
-    return (1 if tag in CONTENT else None), style
+    if hidden or tag in NOT_CONTENT:
+        return 0, style, False
+    if tag not in CONTENT and tag not in ("html", "body") and NOT_CONTENT_WORDS.intersection(tokens):
+        return 0, style, True
+    return (1 if tag in CONTENT else None), style, False
 
 
 def parse(source: str | None) -> Node:
@@ -149,11 +159,16 @@ def parse(source: str | None) -> Node:
                 break
         if name == "hr":
             continue
-        role, style = _role(name, m[3])
+        role, style, named = _role(name, m[3])
         up = stack[-1]
         label = f"{name}.{style}" if style else name
-        node = Node(name, f"{up.path}/{label}" if up.depth < DEPTH else up.path, min(up.depth + 1, DEPTH), role, up.inside or role == 1)
+        node = Node(name, f"{up.path}/{label}" if up.depth < DEPTH else up.path, min(up.depth + 1, DEPTH), role, up.inside or role == 1, named)
         up.parts.append(node)
+        if role == 1:
+            for n in reversed(stack):
+                if n.role == 0 and not n.named:
+                    break
+                n.holds = True
         if name in RAW:
             end = re.compile(f"</{name}[\\s/>]", re.I).search(source, at)
             stop = end.start() if end else len(source)
@@ -165,6 +180,10 @@ def parse(source: str | None) -> Node:
             stack.append(node)
     text.append(source[at:])
     flush()
+    if not any(n.role == 1 for n in nodes(root, live=True)):
+        for n in nodes(root):
+            if n.named and n.holds:
+                n.role = None
     return root
 
 

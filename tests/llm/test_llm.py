@@ -171,6 +171,14 @@ def test_importance_decides_in_and_beside_articles(spark):
     assert all(got[i] == f"story {i}" for i in range(100, 130))
 
 
+def test_class_words_are_whole_and_spare_what_holds_the_article():
+    said = lambda page: html_extract.text_of(html_extract.parse(page), {})
+    for wrap in ("<body class='has-sidebar'><div>", "<body class=sidebar><div>", "<body><div id='content-with-sidebar'>", "<body><div class='no-comments'>", "<body><div class='wide widget'>"):
+        assert said(wrap + "<article><div class='article-header'><h1>A</h1></div><p>b</p><div class='comments'>c</div><div id=ad-12>d</div></article></div>") == "A\nb"
+    assert said("<body><article>a</article><div class=comments><article>c</article></div>") == "a"
+    assert said("<body><div class=widget><aside><article>c</article></aside></div><p>a</p>") == "a"
+
+
 def test_extraction_on_the_pages(spark, sf):
     for r in html_extract.extracted(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.sub("<[a-z/!][^>]*$", "", r.html.partition("<article>")[2].partition("</article>")[0])
