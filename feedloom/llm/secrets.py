@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order models over the characters of long tokens are trained from labelled samples; a token whose
-log-likelihood ratio (random over ordinary) exceeds THRESHOLD is a secret. The samples are SAMPLES strings of either
+log-likelihood ratio (random over ordinary) exceeds THRESHOLD is a secret. What fixed patterns leave of a token is judged
+too, and if it is none as a whole, so are its stretches of LONG characters at least, the best first. The samples are SAMPLES strings of either
 label, drawn with a fixed seed: random ones over the alphabets that keys use, ordinary ones joined from WORDS in the
 usual styles. So the models are the same for every corpus and size, and are made once in each worker.
 
@@ -109,6 +110,37 @@ def ratio(token: str) -> float:
     return float(ratios()[np.append(0, codes[:-1]), codes].sum())
 
 
+def stretch(token: str) -> tuple[float, int, int]:
+    """Best ratio of any stretch of LONG characters at least, each judged as a token of its own; its start and end."""
+    codes = np.frombuffer(token.encode(), np.uint8)
+    sums = np.append(0, np.cumsum(ratios()[codes[:-1], codes[1:]]))
+    starts = ratios()[0, codes] - sums
+    best = np.maximum.accumulate(starts[: len(codes) - LONG + 1]) + sums[LONG - 1 :]
+    end = int(best.argmax()) + LONG
+    return float(best[end - LONG]), int(starts[: end - LONG + 1].argmax()), end
+
+
+def random_parts(text: str, start: int, end: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """Secrets in a part of a run: all of it, or its best stretches out to the next mark on either side."""
+    todo = [(start, end)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < LONG:
+            continue
+        if ratio(text[a:b]) > threshold:
+            yield a, b
+            continue
+        value, i, j = stretch(text[a:b])
+        if value > threshold:
+            i, j = a + i, a + j
+            while i > a and text[i - 1].isalnum():
+                i -= 1
+            while j < b and text[j].isalnum():
+                j += 1
+            yield i, j
+            todo += [(a, i), (j, b)]
+
+
 def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start, then kind."""
     spans = []
@@ -123,8 +155,14 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
             own = [("access", *m.span()) for m in ACCESS.finditer(text, *run.span())]
             own += [("hex", *m.span()) for m in HEX.finditer(text, *run.span())]
             spans += own
-            if not own and not (at < len(assigned) and assigned[at][1] < run.end()) and ratio(run[0]) > threshold:
-                spans.append(("markov", *run.span()))
+            over = at
+            while over < len(assigned) and assigned[over][1] < run.end():
+                own.append(assigned[over])
+                over += 1
+            start = run.start()
+            for a, b in [*sorted(s[1:] for s in own), (run.end(), run.end())]:
+                spans += [("markov", *x) for x in random_parts(text, start, a, threshold)]
+                start = max(start, b)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -247,6 +247,20 @@ def test_base_spans_and_ratio(spark, sf):
     assert np.mean([secrets.ratio(s) > secrets.THRESHOLD for s in plain if len(s) >= secrets.LONG]) < 0.01
 
 
+def test_rest_of_a_run_is_scored():
+    r = random.Random(66)
+    key = lambda n: "".join(r.choices(secrets.ALPHABETS[3], k=n))
+    for _ in range(50):
+        secret = key(40)
+        assert secrets.masked(f"id AKIA{'ABCDEFGH01234567'}/{secret} ok") == "id [secret][secret] ok"
+        assert secret not in secrets.masked(f"{secret}/token=abcdef0")
+    hidden = [key(20) for _ in range(200)]
+    found = [secrets.find(f"client-configuration-{k}") for k in hidden]
+    assert sum(bool(f) and f[0][2] == 41 for f in found) > 190
+    plain = [s for s in secrets.samples(2000, seed=99)[1] if len(s) >= secrets.LONG]  # held out
+    assert sum(any(k == "markov" for k, *_ in secrets.find(s)) for s in plain) < 0.01 * len(plain)
+
+
 def test_redaction(odd):
     got = secrets.redact(odd)
     assert got.columns == odd.columns
