@@ -3,7 +3,7 @@
 A JPEG loses nothing between its coefficients and its bytes, so the payload's unit is the quantised coefficient. A file
 has three components at 4:2:0 and fifteen scans, none interleaved: for each component a DC scan and its refinement,
 the first five AC coefficients, the others, and a refinement of all (spectral selection and successive
-approximation). The decoder takes any such progressive scans: it accumulates them into coefficient arrays, which are
+approximation). The decoder takes such scans of one component each, and quantisation by ones: it accumulates them into coefficient arrays, which are
 inverse-transformed in numpy, chroma upsampled, and turned to RGB. Scans whose Huffman table makes every symbol equally
 wide (as the writer's do) are read by numpy at once; others symbol by symbol.
 
