@@ -6,7 +6,8 @@ successive edges with one minimiser: one source coordinate and a few bytes an ed
 more, it is repeated; successive repeated edges of a stretch are a segment already. Segments that end and begin at one
 node, without a branch, are compacted to paths by Spark joins; their source coordinates give the long repeated spans.
 
-An edge's identity is its minimiser's 64-bit hash with a further 40 bits of the edge's own hash.
+An edge's identity is its minimiser's 64-bit hash with a further 48 bits of the edge's own hash;
+spans rest on it, words are not compared at their source coordinates.
 
 Defined results: null, empty and blank texts have no words and lose none. A text of fewer than SPAN words loses none.
 Rows with equal or null ids are documents of their own: two equal rows of SPAN words or more repeat each other, and
