@@ -185,17 +185,34 @@ SYSTEMS = (
     ("ios", "iOS"), ("ipad", "iOS"), ("iphone", "iOS"), ("ipod", "iOS"), ("cfnetwork", "iOS"), ("darwin/", "iOS"), ("mac", "Mac"), ("windows", "Windows"), ("android", "Android"), ("dalvik", "Android"),
     ("cros", "ChromeOS"), ("linux", "Linux"), ("x11", "Linux"),
 )
-#: Substrings of client name and user agent, and the app; systems that an app implies.
+#: Substrings of client name and user agent in order, the app that the first fitting one names, and the
+#: system that the app implies (None: the user agent's).
 APPS = (
-    ("feeddler", "Feeddler"), ("reeder", "Reeder"), ("feedme", "FeedMe"), ("fiery", "FieryFeeds"), ("netnewswire", "NetNewsWire"), ("mr. reader", "MrReader"), ("unread", "Unread"), ("lire", "Lire"),
-    ("focusreader", "FocusReader"), ("justreader", "JustReader"), ("newsplus", "NewsPlus"), ("vienna", "Vienna"), ("readkit", "ReadKit"), ("slowfeeds", "SlowFeeds"), ("slow feeds", "SlowFeeds"),
-    ("slow%20feeds", "SlowFeeds"), ("web subscriber", "WebSubscriber"), ("newsjet", "NewsJet"), ("amber", "Amber"), ("readably", "Readably"), ("fluent-reader", "FluentReader"), ("ravenreader", "RavenReader"),
-    ("okhttp", "okhttp"), ("gzip", "gzip"),
-)
-APP_SYSTEMS = {
-    "iOS": ("Feeddler", "FieryFeeds", "MrReader", "Unread", "Lire", "SlowFeeds", "WebSubscriber"), "Android": ("FeedMe", "FocusReader", "JustReader", "NewsPlus", "NewsJet", "Amber", "Readably"), "Mac": ("Vienna",),
-    "Unknown": ("NetNewsWire", "okhttp", "gzip"),
-}
+    ("feeddler", "Feeddler", "iOS"),
+    ("reeder", "Reeder", None),
+    ("feedme", "FeedMe", "Android"),
+    ("fiery", "FieryFeeds", "iOS"),
+    ("netnewswire", "NetNewsWire", "Unknown"),
+    ("mr. reader", "MrReader", "iOS"),
+    ("unread", "Unread", "iOS"),
+    ("lire", "Lire", "iOS"),
+    ("focusreader", "FocusReader", "Android"),
+    ("justreader", "JustReader", "Android"),
+    ("newsplus", "NewsPlus", "Android"),
+    ("vienna", "Vienna", "Mac"),
+    ("readkit", "ReadKit", None),
+    ("slowfeeds", "SlowFeeds", "iOS"),
+    ("slow feeds", "SlowFeeds", "iOS"),
+    ("slow%20feeds", "SlowFeeds", "iOS"),
+    ("web subscriber", "WebSubscriber", "iOS"),
+    ("newsjet", "NewsJet", "Android"),
+    ("amber", "Amber", "Android"),
+    ("readably", "Readably", "Android"),
+    ("fluent-reader", "FluentReader", None),
+    ("ravenreader", "RavenReader", None),
+    ("okhttp", "okhttp", "Unknown"),
+    ("gzip", "gzip", "Unknown"),
+)
 
 
 def browser(agent: Column) -> Column:
@@ -209,11 +226,9 @@ def system(agent: Column) -> Column:
 
 def app(client: Column, agent: Column) -> Column:
     """struct(app, system): the system that the app implies, else the user agent's."""
-    name = first_fit(F.lower(F.concat_ws(" ", client, agent)), APPS)
-    of = system(agent)
-    for os, apps in APP_SYSTEMS.items():
-        of = F.when(name.isin(*apps), os).otherwise(of)
-    return F.struct(name.alias("app"), of.alias("system"))
+    said, of = F.lower(F.concat_ws(" ", client, agent)), system(agent)
+    row = lambda name, os: F.struct(F.lit(name).alias("app"), os.alias("system"))
+    return F.coalesce(*(F.when(F.contains(said, F.lit(k)), row(name, of if os is None else F.lit(os))) for k, name, os in APPS), row("Unknown", of))
 
 
 def first_fit(text: Column, table: tuple[tuple[str, str], ...], other: str = "Unknown") -> Column:

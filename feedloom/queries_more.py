@@ -108,11 +108,11 @@ def subscriber_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.subscriber_stats(_subs(spark, sf_dir))
 
 
-@query(f"""WITH {_SUBS}, r AS (SELECT c_nationkey AS country, avg(CAST(c_acctbal > 5000 AS INTEGER)) AS ratio FROM customer WHERE c_nationkey < 20 GROUP BY 1),
+@query(f"""WITH {_SUBS}, r AS (SELECT c_nationkey AS country, avg(CAST(c_acctbal > 5000 AS INTEGER)) AS ratio FROM customer GROUP BY 1),
 s AS (SELECT feed, country, count(DISTINCT "user") AS users, count(DISTINCT CASE WHEN paid THEN "user" END) AS paid_users FROM subs GROUP BY feed, country)
 SELECT feed, round(greatest(CAST(sum(paid_users) AS DOUBLE), sum(coalesce(ratio, 1.0) * users)), 6) AS nsubs FROM s LEFT JOIN r USING (country) GROUP BY feed""")
 def normalized_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_nationkey < 20").select(F.col("c_nationkey").alias("country"), (F.col("c_acctbal") > 5000).alias("paid"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("country"), (F.col("c_acctbal") > 5000).alias("paid"))
     return catalog.normalized_subscribers(catalog.subscriber_stats(_subs(spark, sf_dir)), catalog.paid_ratio(c)).withColumn("nsubs", F.round("nsubs", 6))
 
 
@@ -451,12 +451,15 @@ def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.complete(spark, counts).select("event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("""WITH l AS (SELECT page_id, 'p' || page_id AS u, CASE WHEN page_id % 10 = 9 THEN 'p' || (page_id - 9) WHEN page_id % 10 = 4 THEN 'x' ELSE 'p' || (page_id + 1) END AS t FROM pages)
-SELECT u AS url, CASE WHEN page_id % 10 > 4 THEN u WHEN page_id % 10 <= 4 THEN 'x' END AS "end", page_id % 10 > 4 AND false AS loops FROM l WHERE page_id % 10 <= 4""")
+_HOP = "CASE WHEN page_id % 30 = 9 THEN concat('p', page_id - 4) WHEN page_id % 30 IN (4, 29) THEN 'x' ELSE concat('p', page_id + 1) END"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT concat('p', page_id) AS u, {_HOP} AS t FROM pages),
+w AS (SELECT u AS s, t AS e, [u] AS seen FROM l UNION ALL SELECT s, l.t, list_append(seen, l.u) FROM w JOIN l ON l.u = w.e WHERE NOT list_contains(seen, w.e) AND len(seen) <= 10)
+SELECT s AS url, arg_max(e, len(seen)) AS "end", bool_or(list_contains(seen, e)) AS loops, CAST(max(len(seen)) AS INTEGER) AS hops, max(len(seen)) > 10 AS too_long FROM w GROUP BY s""")
 def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), "page_id").alias("url"), F.expr("CASE WHEN page_id % 10 = 9 THEN concat('p', page_id - 9) WHEN page_id % 10 = 4 THEN 'x' ELSE concat('p', page_id + 1) END").alias("target"))
-    found = trees.redirect_paths(p.filter("page_id % 10 <= 4"))
-    return found.select("url", "end", "loops")
+    """Chains of five and of twenty hops, and rings of five."""
+    return trees.redirect_paths(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("url"), F.expr(_HOP).alias("target")))
 
 
 @query("""WITH RECURSIVE s AS (SELECT DISTINCT user_id AS u, CAST(floor(value / 4) AS BIGINT) AS f FROM events), n AS (SELECT u, count(*) AS n FROM s GROUP BY u),

@@ -202,6 +202,16 @@ def test_redirects_and_orphans(spark):
     assert [r.idx for r in trees.preorder(nodes).orderBy("rank").collect()] == [0, 2, 1]
 
 
+def test_trees_of_any_number_and_depth(spark):
+    ids = lambda n: spark.range(n).select(F.col("id").alias("tree"), F.lit(0).alias("idx"), F.lit(-1).alias("parent_idx"), F.lit(0).alias("time"))
+    assert trees.paths(ids(2_000_000)).filter("depth = 0").count() == 2_000_000
+    chain = spark.range(5000).select(F.lit(1).alias("tree"), F.col("id").alias("idx"), (F.col("id") - 1).alias("parent_idx"), F.lit(0).alias("time"))
+    ring = spark.createDataFrame([(2, 0, 1, 0), (2, 1, 0, 0), (2, 2, 1, 0), (2, 3, -1, 0), (2, 4, 3, 0)], chain.schema)
+    got = {(r.tree, r.idx): r.depth for r in trees.paths(chain.unionByName(ring)).select("tree", "idx", "depth").collect()}
+    assert got == {(1, i): i for i in range(5000)} | {(2, 3): 0, (2, 4): 1}
+    assert trees.paths(chain.limit(0)).count() == 0
+
+
 def test_stream_is_within_filters(spark, sf):
     from feedloom import queries as q
 
