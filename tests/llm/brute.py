@@ -91,3 +91,102 @@ def language_model(docs: list[tuple[int | None, str | None]], discount: float =
             score += math.log10(p)
         out.append((i, h, len(ws), sum(one[w] > 0 for w in ws), n, base, score))
     return out
+
+
+def style_tree(pages: list[tuple[str, str | None]], judge: bool = True) -> list[str]:
+    """Texts of (host, html), by dictionaries over whole hosts; ``judge`` false leaves the entropy out, not the priors."""
+    import math
+    from collections import Counter, defaultdict
+
+    from feedloom.llm import html_extract as h
+
+    roots = [h.parse(x) for _, x in pages]
+    children = lambda n: [p for p in n.parts if not isinstance(p, str)]
+    texts = lambda n: [p for p in n.parts if isinstance(p, str)]
+
+    def all_text(n):
+        return tuple(t for p in n.parts for t in ((p,) if isinstance(p, str) else all_text(p)))
+
+    shows, said, gone, ups, size = defaultdict(set), defaultdict(set), defaultdict(set), {}, defaultdict(set)
+    for (host, _), root in zip(pages, roots, strict=True):
+        found = []
+
+        def walk(n, up, found=found, host=host):
+            for t in texts(n):
+                found.append(("text", n.path, t))
+                ups[host, n.path] = (up.path, ups.get((host, n.path), (0, False))[1] or up.role == 1)
+            live = [c for c in children(n) if c.role != 0]
+            if live:
+                found.append(("children", n.path, tuple(c.path for c in live)))
+            found.append(("node", n.path, None))
+            for c in live:
+                walk(c, n)
+
+        walk(root, root)
+        page = tuple(found)
+        size[host].add(page)
+        for kind, node, x in found:
+            if kind == "text":
+                said[host, node].add((x, page))
+            elif kind == "children":
+                shows[host, node].add((x, page))
+
+        def cut(n, host=host, page=page):
+            for c in children(n):
+                if c.role == 0:
+                    gone[host, c.path].add((all_text(c), page))
+                else:
+                    cut(c)
+
+        cut(root)
+
+    def content(values, n):
+        counts = Counter(v for v, _ in values)
+        return max(0.0, 1 - sum(map(math.log, counts.values())) / len(counts) / math.log(n)) if n >= h.LEAST and judge else 1.0
+
+    def entropy(values):
+        counts = Counter(v for v, _ in values)
+        m = sum(counts.values())
+        return 1.0 if m == 1 else -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m)
+
+    own = {k: content(v, len(size[k[0]])) for k, v in said.items()}
+    below = defaultdict(list)
+    for (host, node), c in own.items():
+        below[host, ups[host, node][0]].append(c)
+
+    def importance(host, node):
+        if len(size[host]) < h.LEAST or not judge:
+            return 1.0
+        up, article = ups[host, node]
+        cs = below[host, up]
+        w = h.GAMMA ** len(cs)
+        around = 1.0 if article else (1 - w) * (entropy(shows[host, up]) if shows[host, up] else 1.0) + w * sum(cs) / len(cs)
+        return (1 - h.SHARE) * own[host, node] + h.SHARE * around
+
+    out = []
+    for (host, _), root in zip(pages, roots, strict=True):
+        live = []
+
+        def collect(n, live=live):
+            live.append(n)
+            for c in children(n):
+                if c.role != 0:
+                    collect(c)
+
+        collect(root)
+        whole, kept = any(n.role == 1 for n in live), []
+
+        def emit(n, host=host, whole=whole, kept=kept):
+            least = h.LOW - h.PRIOR if n.inside else h.LOW + h.PRIOR if whole else h.LOW
+            if n.role == 0 and h.ROLE * content(gone[host, n.path], len(size[host])) < least:
+                return
+            ok = importance(host, n.path) >= least if texts(n) else True
+            for p in n.parts:
+                if not isinstance(p, str):
+                    emit(p)
+                elif ok:
+                    kept.append(p)
+
+        emit(root)
+        out.append("\n".join(kept))
+    return out
