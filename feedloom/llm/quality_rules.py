@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, words_of
+from .common import BLANKS, free, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -81,8 +81,9 @@ def measures(docs: DataFrame, into: str = "__quality", text: str = "text") -> Da
     drop = lambda c, chars: F.translate(c, chars, "")
     stops = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
     has_word = lambda line: F.length(drop(line, BLANKS)) > 0
-    with_words = docs.withColumn("__words", words_of(F.col(text))).withColumn("__lines", F.filter(F.split(body, "\n", -1), has_word))
-    words, lines = F.col("__words"), F.col("__lines")
+    at = free(docs, "words"), free(docs, "lines")
+    with_words = docs.withColumn(at[0], words_of(F.col(text))).withColumn(at[1], F.filter(F.split(body, "\n", -1), has_word))
+    words, lines = map(F.col, at)
     row = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(drop(body, BLANKS)).cast("long").alias("word_chars"),
@@ -93,7 +94,7 @@ def measures(docs: DataFrame, into: str = "__quality", text: str = "text") -> Da
         F.size(lines).cast("long").alias("n_lines"),
     )
     # a generator of one row: a filter on the verdict stays above it, so that no measure is worked out twice
-    counted = with_words.select("*", F.explode(F.array(row)).alias(into)).drop("__words", "__lines")
+    counted = with_words.select("*", F.explode(F.array(row)).alias(into)).drop(*at)
     m = F.col(into)
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     return counted.withColumn(into, m.withField("base_failed", failed)).withColumn(into, m.withField("kept", ~m["base_failed"] & compiled(m)))
@@ -115,4 +116,5 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return measures(docs).filter("__quality.kept").drop("__quality")
+    into = free(docs, "quality")
+    return measures(docs, into).filter(F.col(into)["kept"]).drop(into)

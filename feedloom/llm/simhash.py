@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, staged, texts, tidy
+from .common import dropped, free, staged, texts, tidy
 from .components import components
 
 SEED = 42
@@ -179,8 +179,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays: that of the smallest id, and of rows with that id the one of the smallest text hash."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
+    own_key, once, best_id, best_key = (free(docs, x) for x in ("key", "once", "best_id", "best_key"))
     best = near_duplicates(docs.select(own.alias("doc_id"), "text")).select("component_id").distinct()
-    best = staged(best.select(F.col("component_id.id").alias("__best_id"), F.col("component_id.key").alias("__best_key")), "kept")
-    rows = docs.withColumn("__key", key).join(best, F.col("doc_id").eqNullSafe(F.col("__best_id")) & (F.col("__key") == F.col("__best_key")), "left_semi")
-    once = Window.partitionBy("doc_id", "__key").orderBy("__key")
-    return rows.withColumn("__once", F.row_number().over(once)).filter("__once = 1").drop("__key", "__once")
+    best = staged(best.select(F.col("component_id.id").alias(best_id), F.col("component_id.key").alias(best_key)), "kept")
+    rows = docs.withColumn(own_key, key).join(best, F.col("doc_id").eqNullSafe(F.col(best_id)) & (F.col(own_key) == F.col(best_key)), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id", own_key).orderBy(own_key))
+    return rows.withColumn(once, rank).filter(F.col(once) == 1).drop(own_key, once)

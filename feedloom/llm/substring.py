@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, staged, texts, tidy
+from .common import dropped, free, partitions, staged, texts, tidy
 
 SPAN = 35
 #: Words of a minimiser; any SPAN words hold SPAN - ANCHOR + 1 runs of so many.
@@ -285,17 +285,19 @@ def deduplicated(docs: DataFrame, into: str = "__passages", span: int = SPAN) ->
         n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])
 
-    found = spans(docs, span).select(F.col("ref").alias("__ref2"), F.col("at").alias("__at"))
-    joined = docs.withColumn("__ref", _ref()).join(found, F.col("__ref") == F.col("__ref2"), "left")
-    return joined.withColumn(into, cut("text", "__at")).drop("__ref", "__ref2", "__at")
+    own, ref, at = (free(docs, x) for x in ("own_ref", "ref", "at"))
+    found = spans(docs, span).select(F.col("ref").alias(ref), F.col("at").alias(at))
+    joined = docs.withColumn(own, _ref()).join(found, F.col(own) == F.col(ref), "left")
+    return joined.withColumn(into, cut("text", at)).drop(own, ref, at)
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """The documents with their columns; text (and n_chars, if there) without the repeated passages, unchanged where there are none."""
-    done = deduplicated(docs)
-    cut = F.col("__passages.n_removed") > 0
-    new = F.when(cut, F.col("__passages.kept")).otherwise(F.col("text"))
+    into = free(docs, "passages")
+    done = deduplicated(docs, into)
+    cut = F.col(into)["n_removed"] > 0
+    new = F.when(cut, F.col(into)["kept"]).otherwise(F.col("text"))
     out = done.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("__passages")
+    return out.drop(into)
