@@ -1,18 +1,24 @@
 """Media columns: bytes stored losslessly as progressive JPEGs, and full-resolution tensors decoded from them.
 
 A JPEG loses nothing between its coefficients and its bytes, so the payload's unit is the quantised coefficient. A file
-has three components at 4:2:0 and fifteen scans, none interleaved: for each component a DC scan and its refinement,
-the first five AC coefficients, the others, and a refinement of all (spectral selection and successive
-approximation). The decoder takes such scans of one component each, and quantisation by ones: it accumulates them into coefficient arrays, which are
-inverse-transformed in numpy, chroma upsampled, and turned to RGB. Scans whose Huffman table makes every symbol equally
-wide (as the writer's do) are read by numpy at once; others symbol by symbol.
+has three components at 4:2:0, quantised by ones, and fifteen scans, none interleaved: for each component a DC scan and
+its refinement, the first five AC coefficients, the others, and a refinement of all (spectral selection and successive
+approximation).
+
+The decoder reads progressive files of any writer with Huffman coding and 8-bit samples: one to four components of any
+sampling, interleaved DC scans, quantisation tables, restart intervals, sizes that are no multiple of a block. It
+accumulates the scans into coefficient arrays, which are dequantised, inverse-transformed in numpy, chroma upsampled,
+and turned to RGB. Scans whose Huffman table makes every symbol equally wide (as the writer's do) are read by numpy at
+once; others symbol by symbol.
 
 How a byte b becomes a coefficient: AC b from 128 on is b, below it -(b + 128), so the magnitude always has eight bits;
 DC is b - 128, plus 767 in every even block, so differences always have nine bits after the shift.
 
 The transform's matrix is whole numbers small enough that sums in doubles are exact, so equal texts have equal
-features on any machine. Defined results: null and empty texts give one unit of bytes 255. Rows are handled one by one:
-repeated rows and ids, null ids and empty tables need no care. Columns besides doc_id and text are not read.
+features on any machine. Defined results: null and empty texts give one unit of bytes 255. A text of any length is one
+image: rows widen where 64 units a row would exceed a JPEG's height, up to 6 GB, beyond what a Spark value holds. Rows
+are handled one by one: repeated rows and ids, null ids and empty tables need no care. Columns besides doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -32,12 +39,14 @@ from .common import tidy
 
 #: Payloads are multiples of so many bytes.
 UNIT = 576
-WIDEST = 64  # MCUs in a row
+WIDEST, TALLEST = 64, 4095  # MCUs in a row, unless that makes more rows than a JPEG has
 EVEN_DC = 767
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 AHEAD = ((1, 5), (6, 63))  # AC bands
 LENGTH_MARK = b"payload "
-_BITS = 12  # of the transform's fraction
+_BITS = 20  # of the transform's fraction
+#: Bytes of texts or tensors that a worker hands on at once (or one row's).
+AT_ONCE = 4 << 20
 
 
 def padded(data: bytes, unit: int = UNIT) -> bytes:
@@ -65,7 +74,7 @@ def _runs(blocks: int) -> list[int]:
 def encode(payload: bytes) -> bytes:
     """A progressive JPEG whose coefficients hold ``payload``."""
     mcus = -(-len(payload) // 384)
-    wide = min(WIDEST, mcus)
+    wide = max(min(WIDEST, mcus), -(-mcus // TALLEST))
     high = -(-mcus // wide)
     b = np.frombuffer(payload, np.uint8)
     b = np.append(b, np.zeros(wide * high * 384 - len(b), np.uint8)).reshape(-1, 64)
@@ -133,18 +142,22 @@ def _signed(x: int, size: int) -> int:
     return x if size and x >> size - 1 else x - (1 << size) + 1
 
 
-def _read_plain(coefs: np.ndarray, data: bytes, dc: dict, ac: dict, a: int, z: int, high: int, low: int) -> None:
-    """A scan of one component, symbol by symbol."""
-    bits, blocks, rest, last = _Bits(data), coefs.tolist(), 0, 0
+def _read_dc(units: list[tuple[np.ndarray, dict]], data: bytes, last: list[int], high: int, low: int, which: list[int]) -> None:
+    """DC values of blocks, in the order of ``units`` (block, table); ``which`` names each one's component."""
+    bits = _Bits(data)
+    for (block, table), c in zip(units, which, strict=True):
+        if high:
+            block[0] |= bits.take(1) << low
+        else:
+            size = bits.symbol(table)
+            last[c] += _signed(bits.take(size), size) if size else 0
+            block[0] = last[c] << low
+
+
+def _read_ac(coefs: np.ndarray, data: bytes, ac: dict, a: int, z: int, high: int, low: int) -> None:
+    """AC values of one component's blocks, symbol by symbol."""
+    bits, blocks, rest = _Bits(data), coefs.tolist(), 0
     for block in blocks:
-        if a == 0:
-            if high:
-                block[0] |= bits.take(1) << low
-            else:
-                size = bits.symbol(dc)
-                last += _signed(bits.take(size), size) if size else 0
-                block[0] = last << low
-            continue
         k = a
         if high == 0:
             while k <= z and not rest:
@@ -233,60 +246,168 @@ def _read_even(coefs: np.ndarray, data: bytes, dc: dict, ac: dict, a: int, z: in
     return True
 
 
-def coefficients(stored: bytes, by_symbol: bool = False) -> tuple[int, int, list[np.ndarray], int | None]:
-    """Width, height, each component's coefficients (blocks by rows, zigzag order), and the payload's length if told."""
-    at, tables, shape, parts, told = 2, {}, (0, 0), [], None
-    ids: list[int] = []
-    while stored[at + 1] != 0xD9:
-        mark, n = stored[at + 1], int.from_bytes(stored[at + 2 : at + 4])
+@dataclass
+class Component:
+    """Sampling factors, quantisation table's number, blocks a row and a column as scans of this component alone cover
+    them, and all blocks' coefficients in zigzag order, by rows of ``stride`` blocks (whole MCUs)."""
+
+    id: int
+    h: int
+    v: int
+    table: int
+    wide: int
+    high: int
+    stride: int
+    coefs: np.ndarray
+
+    def alone(self) -> np.ndarray:
+        """The blocks of a scan of this component alone."""
+        return (np.arange(self.high)[:, None] * self.stride + np.arange(self.wide)).ravel()
+
+
+@dataclass
+class Image:
+    width: int = 0
+    height: int = 0
+    told: int | None = None
+    parts: list[Component] = field(default_factory=list)
+    tables: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def frame(self, body: bytes) -> None:
+        deep, self.height, self.width, k = struct.unpack(">BHHB", body[:6])
+        if deep != 8 or not self.height:
+            raise ValueError("only 8-bit samples and told heights are read")
+        specs = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(k)]
+        self.most = max(h for _, h, *_ in specs), max(v for *_, v, _ in specs)
+        self.mcus = -(-self.width // (8 * self.most[0])), -(-self.height // (8 * self.most[1]))
+        for id_, h, v, table in specs:
+            wide, high = (-(-(-(-size * f // most)) // 8) for size, f, most in ((self.width, h, self.most[0]), (self.height, v, self.most[1])))
+            self.parts.append(Component(id_, h, v, table, wide, high, self.mcus[0] * h, np.zeros((self.mcus[0] * h * self.mcus[1] * v, 64), np.int32)))
+
+    def interleaved(self, parts: list[Component]) -> list[tuple[int, int]]:
+        """(component, block) of a scan of several components, MCU by MCU."""
+        return [
+            (c, (my * p.v + y) * p.stride + mx * p.h + x)
+            for my in range(self.mcus[1])
+            for mx in range(self.mcus[0])
+            for c, p in enumerate(parts)
+            for y in range(p.v)
+            for x in range(p.h)
+        ]
+
+    def scan(self, body: bytes, data: list[bytes], huffman: dict[int, dict], interval: int, by_symbol: bool) -> None:
+        """One scan, its entropy-coded data cut at restart markers."""
+        n = body[0]
+        ids = {p.id: p for p in self.parts}
+        parts = [ids[body[1 + 2 * i]] for i in range(n)]
+        dc, ac = ([huffman.get(k(body[2 + 2 * i]), {}) for i in range(n)] for k in (lambda t: t >> 4, lambda t: 16 | t & 15))
+        a, z, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
+        if n > 1 and a:
+            raise ValueError("AC scans are of one component")
+        if n == 1:
+            p, blocks = parts[0], parts[0].alone()
+            whole = len(blocks) == len(p.coefs)
+            coefs = p.coefs if whole else p.coefs[blocks]
+            step = interval or len(blocks)
+            for i, at in enumerate(range(0, len(blocks), step)):
+                own = coefs[at : at + step]
+                if by_symbol or not _read_even(own, data[i], dc[0], ac[0], a, z, high, low):
+                    if a:
+                        _read_ac(own, data[i], ac[0], a, z, high, low)
+                    else:
+                        _read_dc([(b, dc[0]) for b in own], data[i], [0], high, low, [0] * len(own))
+            if not whole:
+                p.coefs[blocks] = coefs
+            return
+        order = self.interleaved(parts)
+        step = (interval or len(order)) * sum(p.h * p.v for p in parts)
+        for i, at in enumerate(range(0, len(order), step)):
+            own = order[at : at + step]
+            _read_dc([(parts[c].coefs[b], dc[c]) for c, b in own], data[i], [0] * n, high, low, [c for c, _ in own])
+
+
+def _huffman(body: bytes) -> Iterator[tuple[int, dict[tuple[int, int], int]]]:
+    """Tables of a DHT segment: class and number, and symbols by (size, code)."""
+    while body:
+        counts, code, symbols, table = body[1:17], 0, iter(body[17:]), {}
+        for size, c in enumerate(counts, 1):
+            for _ in range(c):
+                table[size, code] = next(symbols)
+                code += 1
+            code <<= 1
+        yield body[0], table
+        body = body[17 + sum(counts) :]
+
+
+def _quantisers(body: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Tables of a DQT segment, in zigzag order."""
+    while body:
+        size = 128 if body[0] >> 4 else 64
+        yield body[0] & 15, np.frombuffer(body, ">u2" if size == 128 else np.uint8, 64, 1).astype(np.int32)
+        body = body[1 + size :]
+
+
+def _entropy_coded(stored: bytes, at: int) -> tuple[list[bytes], int]:
+    """A scan's data from ``at`` on, cut at restart markers, without stuffing; and where the next marker is."""
+    parts, begin = [], at
+    while True:
+        at = stored.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(stored):
+            raise ValueError("the file ends within a scan")
+        after = stored[at + 1]
+        if after == 0:
+            at += 2
+        elif after == 0xFF:
+            at += 1
+        else:
+            parts.append(stored[begin:at].replace(b"\xff\0", b"\xff"))
+            if not 0xD0 <= after <= 0xD7:
+                return parts, at
+            begin = at = at + 2
+
+
+def read(stored: bytes, by_symbol: bool = False) -> Image:
+    """The coefficients of a progressive JPEG, and what it tells of size, sampling and quantisation."""
+    image, huffman, interval, at = Image(), {}, 0, 2
+    while True:
+        while stored[at + 1] == 0xFF:
+            at += 1
+        mark = stored[at + 1]
+        if mark == 0xD9:
+            return image
+        if mark == 1 or 0xD0 <= mark <= 0xD8:  # alone
+            at += 2
+            continue
+        n = int.from_bytes(stored[at + 2 : at + 4])
         body = stored[at + 4 : at + 2 + n]
         at += 2 + n
         if mark == 0xFE and body.startswith(LENGTH_MARK):
-            told = int.from_bytes(body[len(LENGTH_MARK) :])
+            image.told = int.from_bytes(body[len(LENGTH_MARK) :])
         elif mark == 0xC2:
-            _, high, wide, k = struct.unpack(">BHHB", body[:6])
-            shape, ids = (wide, high), list(body[6::3])
-            most = max(x >> 4 for x in body[7::3]), max(x & 15 for x in body[7::3])
-            for f in body[7::3]:
-                w, h = (-(-(-(-size * g // m)) // 8) for size, g, m in ((wide, f >> 4, most[0]), (high, f & 15, most[1])))
-                parts.append(np.zeros((w * h, 64), np.int32))
+            image.frame(body)
         elif mark == 0xC4:
-            while body:
-                counts, code, symbols = body[1:17], 0, iter(body[17:])
-                table = {}
-                for size, c in enumerate(counts, 1):
-                    for _ in range(c):
-                        table[size, code] = next(symbols)
-                        code += 1
-                    code <<= 1
-                tables[body[0]] = table
-                body = body[17 + sum(counts) :]
+            huffman.update(_huffman(body))
+        elif mark == 0xDB:
+            image.tables.update(_quantisers(body))
+        elif mark == 0xDD:
+            interval = int.from_bytes(body)
         elif mark == 0xDA:
-            if body[0] != 1:
-                raise ValueError("interleaved scans are not read")
-            end = at
-            while True:  # up to the next marker
-                end = stored.index(b"\xff", end)
-                if stored[end + 1]:
-                    break
-                end += 2
-            data = stored[at:end].replace(b"\xff\0", b"\xff")
-            at = end
-            use = (parts[ids.index(body[1])], data, tables.get(body[2] >> 4, {}), tables.get(16 | body[2] & 15, {}), body[3], body[4], body[5] >> 4, body[5] & 15)
-            if by_symbol or not _read_even(*use):
-                _read_plain(*use)
-    return *shape, parts, told
+            data, at = _entropy_coded(stored, at)
+            image.scan(body, data, huffman, interval, by_symbol)
+        elif 0xC0 <= mark <= 0xCF and mark != 0xC8:
+            raise ValueError("only progressive files with Huffman coding are read")
 
 
-def payload(parts: list[np.ndarray], length: int) -> bytes:
-    """The bytes that the coefficients hold."""
+def payload(image: Image) -> bytes:
+    """The bytes that the coefficients of a file made by ``encode`` hold."""
     out = []
-    for x in parts:
+    for part in image.parts:
+        x = part.coefs
         b = np.where(x > 0, x, -x - 128)
         b[:, 0] = x[:, 0] + 128
         b[::2, 0] -= EVEN_DC
         out.append(b.astype(np.uint8).tobytes())
-    return b"".join(out)[:length]
+    return b"".join(out)[: image.told]
 
 
 @lru_cache(maxsize=1)
@@ -306,11 +427,29 @@ def _plane(coefs: np.ndarray, blocks_wide: int) -> np.ndarray:
     return out.reshape(-1, blocks_wide, 8, 8).swapaxes(1, 2).reshape(-1, blocks_wide * 8)
 
 
-def tensor(wide: int, high: int, parts: list[np.ndarray]) -> np.ndarray:
-    """RGB samples, (height, width, 3), chroma at full resolution."""
-    y = _plane(parts[0], wide // 8).astype(np.int32)
-    cb, cr = (np.repeat(np.repeat(_plane(p, wide // 16).astype(np.int32) - 128, 2, axis=0), 2, axis=1) for p in parts[1:])
-    rgb = np.empty((high, wide, 3), np.uint8)  # in sixteenths of a bit
+def _upsampled(plane: np.ndarray, image: Image, part: Component) -> np.ndarray:
+    """The samples that lie at the image's full resolution."""
+    for axis, (f, most, size) in enumerate(((part.v, image.most[1], image.height), (part.h, image.most[0], image.width))):
+        if most % f == 0:
+            plane = np.repeat(plane, most // f, axis=axis) if most != f else plane
+        else:
+            plane = np.take(plane, np.arange(size) * f // most, axis=axis)
+    return plane[: image.height, : image.width].astype(np.int32)
+
+
+def tensor(image: Image) -> np.ndarray:
+    """RGB samples, (height, width, 3), chroma at full resolution; grey files have three equal ones, and of four
+    components the first three count."""
+    planes = []
+    for part in image.parts[:3]:
+        q = image.tables.get(part.table)
+        coefs = part.coefs if q is None or (q == 1).all() else part.coefs * q
+        planes.append(_upsampled(_plane(coefs, part.stride), image, part))
+    rgb = np.empty((image.height, image.width, 3), np.uint8)
+    if len(planes) < 3:
+        rgb[:] = planes[0][..., None]
+        return rgb
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
     rgb[..., 0] = np.clip(y + ((91881 * cr + 32768) >> 16), 0, 255)
     rgb[..., 1] = np.clip(y - ((22554 * cb + 46802 * cr + 32768) >> 16), 0, 255)
     rgb[..., 2] = np.clip(y + ((116130 * cb + 32768) >> 16), 0, 255)
@@ -331,36 +470,31 @@ def stored(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """doc_id, width, height and rgb (binary, rows of interleaved samples) of a table made by ``stored``."""
-    rows = media.select("doc_id", "media")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                wide, high, parts, _ = coefficients(b.column("media")[i].as_py())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), pa.array([wide]), pa.array([high]), pa.array([tensor(wide, high, parts).tobytes()], pa.binary())], ["doc_id", "width", "height", "rgb"])
-
-    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, width long, height long, rgb binary")
-
-
 def features(media: DataFrame) -> DataFrame:
-    """Digests of what is read back, and size and channel means of the decoded tensor."""
+    """Digests of what is read back from a table made by ``stored``, and the full-resolution tensor: size, channel
+    means, and rgb (binary, rows of interleaved samples)."""
     rows = media.select("doc_id", "n_bytes", "media")
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "rgb"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+
+    def seen(file: bytes) -> tuple:
+        image = read(file)
+        back, rgb = payload(image), tensor(image)
+        means = " ".join(f"{v / (image.width * image.height):.4f}" for v in rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist())
+        told = f"{image.width}x{image.height} {means}"
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), told, image.width, image.height, rgb.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column("media"):
-                s = x.as_py()
-                wide, high, parts, told = coefficients(s)
-                back = payload(parts, told)
-                sums = tensor(wide, high, parts).reshape(-1, 3).sum(axis=0, dtype=np.int64)
-                means = " ".join(f"{v / (wide * high):.4f}" for v in sums.tolist())
-                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(s), hashlib.sha256(s).hexdigest(), f"{wide}x{high} {means}"))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *names])
-
-    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            out, held, begin = [], 0, 0
+            for i, x in enumerate(b.column("media")):
+                out.append(seen(x.as_py()))
+                held += len(out[-1][-1])
+                if held >= AT_ONCE or i + 1 == b.num_rows:  # tensors of some rows at a time
+                    own = b.slice(begin, len(out))
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *names])
+                    out, held, begin = [], 0, i + 1
+
+    spec = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, rgb binary"
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, {spec}")

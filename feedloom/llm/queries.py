@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_extract, media, ngram_lm, packing, quality_rules, secrets, simhash, substring, url_filters
+from .common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,7 +57,8 @@ def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.stored(documents(spark, sf_dir)))
+    """The files are written, and what is read back is decoded and stored as tensors."""
+    return media.features(staged(media.stored(documents(spark, sf_dir)), "media"))
 
 
 @query
