@@ -496,6 +496,58 @@ def test_passages_over_random_letters(spark):
     assert got == {i: x for (i, _), x in zip(docs, brute.repeated([t for _, t in docs]), strict=True)}
 
 
+def shared_passage():
+    """Forty texts that share a passage, ten of them a part of it only, each with words of its own around."""
+    r = random.Random(101)
+    own = lambda n: " ".join(f"{w}{r.randint(0, 999)}" for w in r.choices(secrets.WORDS, k=n))
+    passage = own(300).split()
+    return [(i, f"{own(r.randint(0, 60))} {' '.join(passage if i % 4 else passage[:120])} {own(r.randint(0, 60))}") for i in range(40)]
+
+
+@pytest.mark.parametrize("hot", [1, 10])
+def test_edges_of_frequent_minimisers(spark, sf, hot):
+    docs = shared_passage() + [(100 + i, t) for i, t in docs_of(spark, sf)[:80]] + [(900 + i, "a " * 200 + f"b{i}") for i in range(3)]
+    got = {r.doc_id: tuple(r["__passages"]) for r in substring.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot).collect()}
+    assert got == {i: x for (i, _), x in zip(docs, brute.repeated([t for _, t in docs]), strict=True)}
+
+
+def test_paths_make_long_spans(spark, monkeypatch):
+    found = substring.occurrences(spark.createDataFrame(shared_passage(), "doc_id long, text string"))
+    whole = substring.spans(found)
+    assert whole.count() <= 4 * 40 and whole.filter("(at & 4294967295) > 150").count() >= 25
+    monkeypatch.setattr(substring, "compacted", lambda x: x.select("segment", substring.F.col("segment").alias("path")).distinct())
+    assert substring.spans(found).count() > 4 * whole.count()  # without compaction every segment is a span
+
+
+def test_words_bear_spans_out(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = text.replace("w20 ", "x20 ")
+    span = lambda at, to, place: {"at": at << 32 | 6, "pattern": to, "pattern_at": place << 32 | 6}
+    rows_ = [(1, text, [span(0, 2, 0), span(0, 3, 4)], [0 << 32 | 6]), (2, other, [span(0, 1, 0), span(30, 1, 30)], [0 << 32 | 6]), (3, "a b c d " + text, None, [4 << 32 | 6]), (4, None, [span(0, 1, 0)], None)]
+    df = spark.createDataFrame(rows_, "ref long, text string, own array<struct<at: long, pattern: long, pattern_at: long>>, asked array<long>")
+    got = {(r.ref, r.at >> 32): bytes(r.hash) for r in substring.refuted(df, "ref", "text", "own", "asked", 35).collect()}
+    assert set(got) == {(2, 0), (2, 30), (4, 0)}  # row 1's second pattern is right; nobody was asked for row 1's words from 30 on
+    ws = other.encode().split()
+    assert got[2, 0] == substring.words_hash(ws, 6, 35)
+    assert substring.strip(other, [6], 35, [{"at": 6, "hash": got[2, 0]}])[1] == 0
+    assert substring.strip(other, [6], 35, [{"at": 6, "hash": b"another text's"}])[1] == 40
+
+
+def test_a_frequent_passage_crowds_no_shard():
+    passage, sent, bytes_ = [f"p{i}".encode() for i in range(60)], substring._Sent(), []
+    for batch in range(12):
+        docs = [[*(f"{batch}-{i}-{k}".encode() for k in range(40)), *passage, f"{batch}.{i}".encode()] for i in range(200)]
+        hot = substring.stretches([passage], 35, 12, np.zeros(0, np.uint64))[3]
+        out = substring._emit(np.arange(200) + 1000 * batch, docs, 16, 35, 12, np.unique(hot), sent)
+        known = {int(x >> np.uint64(8)) for x in hot}
+        least = [np.frombuffer(x, "<u8") for x in out.column("least").to_pylist()]
+        tags = out.column("tags").to_pylist()
+        inside = sum(int((np.isin(x >> np.uint64(8), list(known))).sum()) for x in least)
+        bytes_.append((inside, max(map(len, tags))))
+    assert bytes_[1][0] < bytes_[0][0]  # what is the same in every text went once
+    assert max(b for _, b in bytes_) < 200 * 60 * 6 / 4  # the rest is dealt by its own hash
+
+
 # --- pipeline
 
 
