@@ -417,11 +417,16 @@ def refuted(joined: DataFrame, ref: str, text: str, own: str, asked: str, span:
 
     rows = joined.filter(F.col(own).isNotNull() | F.col(asked).isNotNull()).select(F.col(ref).alias("ref"), F.col(text).alias("text"), F.col(own).alias("own"), F.col(asked).alias("asked"))
     told = staged(rows.mapInArrow(tidy(hashed), "ref long, at long, hash binary, pattern long, pattern_at long"), "span-hashes")
+    keys = ["pattern", "pattern_at", "hash"]
+    own_ = told.filter("pattern IS NOT NULL")
     patterns = told.filter("pattern IS NULL").select(F.col("ref").alias("pattern"), F.col("at").alias("pattern_at"), "hash").distinct()
-    wrong = told.filter("pattern IS NOT NULL").join(patterns, ["pattern", "pattern_at", "hash"], "left_anti").select("ref", "at", "hash")
+    # as a rule there are none; spans of one frequent pattern are combined before they are dealt
+    false = staged(own_.select(*keys).distinct().join(patterns, keys, "left_anti"), "false-patterns")
+    wrong = own_.join(false, keys, "left_semi").select("ref", "at", "hash").distinct()
+    if not false.limit(1).count():
+        return wrong.limit(0)
     # of two patterns one may be right
-    right = told.filter("pattern IS NOT NULL").join(patterns, ["pattern", "pattern_at", "hash"], "left_semi").select("ref", "at", "hash")
-    return wrong.distinct().join(right, ["ref", "at", "hash"], "left_anti")
+    return wrong.join(own_.join(false, keys, "left_anti").select("ref", "at", "hash"), ["ref", "at", "hash"], "left_anti")
 
 
 def strip(text: str | None, at: list[int] | None, span: int = SPAN, wrong: list[dict] | None = None) -> tuple[int, int, str]:
