@@ -1,19 +1,24 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an Elias-Fano n-gram trie of order three.
 
-Level one holds the training words, level two the successors of each. Sorted word hashes, prefix sums of counts,
-pointers and successors are monotone and Elias-Fano coded; the probabilities of level two are absolute-discounted and
-quantised to 16 bits. A bigram is found by its context's pointers and a successor search among the keys between them.
+Level one holds the training words, level two the successors of each word, level three those of each bigram. A
+successor is coded relative to its context: on level two as its word's number, on level three as its place among the
+successors of the context's last word. Added to where the context before ends, they are monotone, as are sorted word
+hashes, prefix sums of counts and pointers, and all are Elias-Fano coded; the probabilities of levels two and three are
+absolute-discounted and quantised to 16 bits. An n-gram is found by its context's pointers and a successor search among
+the codes between them.
 
-p(w | a) = (c(aw) - D) / c(a) + D * kinds(a) / c(a) * p(w), with p(w) = (c(w) + 1) / (N + V + 1); D is DISCOUNT.
+p(w | a b) = (c(abw) - D) / c(ab) + D * kinds(ab) / c(ab) * p(w | b), likewise p(w | b) down to p(w) = (c(w) + 1) / (N + V + 1);
+D is DISCOUNT. A text's first word has its beginning for a context, and no longer one.
 
+Texts are read twice: to count words, and to write every text as the numbers of its words, from which all else is made.
 Levels are files in the shared folder, one for each range of keys; workers map them into memory and read the pages that
 they need, so what a worker holds is bounded by one batch of texts. Ranges are cut by token mass, inside a context too,
 so frequent words and word pairs crowd no task; counts are combined per batch before the shuffle. The driver holds a
 few numbers for each file. All counts cover the whole training set, without cut-offs.
 
-Defined results: null, empty and blank texts are one end token. A null id is in the training set. With an empty
-training set every count is zero. Repeated rows and ids are documents of their own. Columns besides doc_id and text are
-not read.
+Defined results: null, empty and blank texts are one end token; very long texts are one batch. A null id is in the
+training set. With an empty training set every count is zero. Repeated rows and ids are documents of their own. Columns
+besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, tidy
+from .common import new_path, partitions, staged, tidy
 
 FOLDS, HELD = 7, 2
 DISCOUNT = 0.75
@@ -248,6 +253,14 @@ def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _sum(np.concatenate(keys), np.concatenate(counts))
 
 
+def _groups(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(sorted_):
+        return []
+    bounds = [*np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])).tolist(), len(sorted_)]
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
 class Words:
     """Level one: every training word's number and count."""
 
@@ -260,13 +273,12 @@ class Words:
             at, mass = at + n, mass + t
         self.n, self.total = at, mass
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each hash's number (-1: unknown), count, and the tokens of all words before it."""
-        number, count, before = (np.full(len(hashes), x, np.int64) for x in (-1, 0, 0))
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each hash's number (-1: unknown) and count."""
+        number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         order = np.argsort(hashes)
         shard = _shard(hashes[order], self.shards)
-        bounds = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True) if len(bounds) else ():
+        for a, b in _groups(shard):
             s = int(shard[a])
             if s not in self.files:
                 continue
@@ -274,21 +286,20 @@ class Words:
             own = order[a:b]
             at = level["hashes"].find(hashes[own])
             own, at = own[at >= 0], at[at >= 0]
-            up = level["sums"].get(at).astype(np.int64)
             number[own] = self.firsts[s] + at
-            count[own] = level["sums"].get(at + 1).astype(np.int64) - up
-            before[own] = self.tokens[s] + up
-        return number, count, before
+            count[own] = (level["sums"].get(at + 1) - level["sums"].get(at)).astype(np.int64)
+        return number, count
 
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Counts of words by their numbers, which are in order; 0 beyond the last."""
-        out = np.zeros(len(numbers), np.int64)
+    def counts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words by their numbers, which are in order, 0 beyond the last; and the tokens of all words before."""
+        out, before = np.zeros(len(numbers), np.int64), np.full(len(numbers), self.total, np.int64)
         for s, (path, n) in self.files.items():
             a, b = np.searchsorted(numbers, [self.firsts[s], self.firsts[s] + n])
             if b > a:
                 sums, at = _mapped(path)["sums"], numbers[a:b] - self.firsts[s]
-                out[a:b] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
-        return out
+                low = sums.get(at).astype(np.int64)
+                out[a:b], before[a:b] = sums.get(at + 1).astype(np.int64) - low, self.tokens[s] + low
+        return out, before
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -318,142 +329,262 @@ def words(docs: DataFrame, path: str, shards: int) -> Words:
     return Words([tuple(r) for r in made.collect()], shards)  # a row for each file
 
 
-class Bigrams:
-    """Level two: the successors of every word, and of a text's beginning (number: words.n)."""
+#: What the driver holds of a file of level two or three.
+_FILE = ("first_context", "first_kinds", "last_context", "last_kinds", "widest", "n", "mass")
 
-    def __init__(self, level: Words, files: list[dict], texts: int) -> None:
-        self.words, self.texts = level, texts
+
+class Successors:
+    """Level two or three: the successors of every context, a word or a bigram by its number."""
+
+    def __init__(self, width: int, files: list[dict]) -> None:
+        """width: more than any successor's code."""
+        self.width = width
         self.files = sorted(files, key=lambda f: f["first"])
         self.firsts = np.array([f["first"] for f in self.files], np.uint64)
-        self.width = level.n + 2
+        self.begins = np.cumsum([0, *(f["n"] for f in self.files)])
+        self.masses = np.cumsum([0, *(f["mass"] for f in self.files)])
+        self.n, self.mass = int(self.begins[-1]), int(self.masses[-1])
         kinds: dict[int, list[int]] = {}
+        self.skipped = []  # successors that a file's first context has in earlier files
         for f in self.files:
+            self.skipped.append(sum(kinds.get(f["first_context"], [])))
             kinds.setdefault(f["first_context"], []).append(f["first_kinds"])
             if f["last_context"] != f["first_context"]:
                 kinds.setdefault(f["last_context"], []).append(f["last_kinds"])
         self.split = {c: sum(k) for c, k in kinds.items() if len(k) > 1}  # contexts in more files than one
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For pairs in order of their keys: the discounted share, and the context's kinds of successors."""
+    def find(self, context: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs in order: the discounted share, the context's kinds of successors, the n-gram's number and its
+        place among its context's successors (-1: unknown)."""
         share, kinds = np.zeros(len(context)), np.zeros(len(context), np.int64)
+        number, place = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
         if not len(context) or not self.files:
-            return share, kinds
-        key = context.astype(np.uint64) * np.uint64(self.width) + word.astype(np.uint64)
+            return share, kinds, number, place
+        key = context.astype(np.uint64) * np.uint64(self.width) + code.astype(np.uint64)
         file = np.maximum(np.searchsorted(self.firsts, key, "right") - 1, 0)
-        bounds = np.append(np.flatnonzero(np.append(True, file[1:] != file[:-1])), len(file))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            f = self.files[int(file[a])]
-            level = _mapped(f["path"])
-            local = np.clip(context[a:b] - f["first_context"], 0, level["pointers"].n - 2)
+        for a, b in _groups(file):
+            i = int(file[a])
+            f, level = self.files[i], _mapped(self.files[i]["path"])
+            own = context[a:b]
+            new = np.append(True, own[1:] != own[:-1])
+            each, back = own[new], np.cumsum(new) - 1
+            inside = (each >= f["first_context"]) & (each <= f["last_context"])
+            local = np.clip(each - f["first_context"], 0, level["pointers"].n - 2)
             begin, end = level["pointers"].get(local).astype(np.int64), level["pointers"].get(local + 1).astype(np.int64)
-            kinds[a:b] = np.where((context[a:b] >= f["first_context"]) & (context[a:b] <= f["last_context"]), end - begin, 0)
-            at = level["successors"].find(key[a:b] - np.minimum(key[a:b], np.uint64(f["first"])), begin, end)
-            hit = np.flatnonzero((at >= 0) & (key[a:b] >= np.uint64(f["first"])))
-            share[a + hit] = 10 ** (level["shares"][at[hit]].astype(np.float64) * (DEEPEST / 65535))
+            end = np.where(inside, end, begin)
+            kinds[a:b] = (end - begin)[back]
+            base = np.where(begin > 0, level["successors"].get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+            at = level["successors"].find(code[a:b].astype(np.uint64) + base[back], begin[back], end[back])
+            hit = np.flatnonzero(at >= 0)
+            at = at[hit]
+            share[a + hit] = 10 ** (level["shares"][at].astype(np.float64) * (DEEPEST / 65535))
+            number[a + hit] = self.begins[i] + at
+            place[a + hit] = at - begin[back[hit]] + np.where(own[hit] == f["first_context"], self.skipped[i], 0)
         for c, n in self.split.items():
             kinds[slice(*np.searchsorted(context, [c, c + 1]))] = n
-        return share, kinds
+        return share, kinds, number, place
 
+    def counts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams by their numbers, which are in order, and the mass of all before."""
+        out, before = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        for a, b in _groups(np.searchsorted(self.begins, numbers, "right") - 1):
+            i = int(np.searchsorted(self.begins, numbers[a], "right") - 1)
+            sums, at = _mapped(self.files[i]["path"])["sums"], numbers[a:b] - self.begins[i]
+            low = sums.get(at).astype(np.int64)
+            out[a:b], before[a:b] = sums.get(at + 1).astype(np.int64) - low, self.masses[i] + low
+        return out, before
 
-def _pairs(level: Words, hashes: np.ndarray, which: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's context and word number, and the words' counts and preceding mass."""
-    number, count, before = level.find(hashes)
-    word = number[which]
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[np.append(0, ends[:-1])] = level.n
-    return context, word, count, before
 
+class Model:
+    """The trie, and the number of training texts."""
 
-def bigrams(docs: DataFrame, level: Words, path: str, shards: int) -> Bigrams:
-    width = np.uint64(level.n + 2)
-    texts_held = docs.select(F.col("doc_id")).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([int((~_held(b.column(0).to_pylist())).sum())])], ["n"]) for b in bs), "n long")
-    texts = texts_held.agg(F.sum("n")).first()[0] or 0
-    mass = level.total + texts
+    def __init__(self, words: Words, pairs: Successors, triples: Successors, texts: int) -> None:
+        self.words, self.pairs, self.triples, self.texts = words, pairs, triples, texts
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_NUMBERED = "held_out boolean, n_tokens long, n_known long, base_score double, numbers binary"
+
+
+def numbered(docs: DataFrame, level: Words) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, and the numbers of the text's words and end (unsigned, in 4 or
+    8 bytes; level.n + 1: unknown)."""
+    kind = _number_kind(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_all = np.log10(level.total + level.n + 1.0)
         for b in batches:
-            train = b.filter(pa.array(~_held(b.column("doc_id").to_pylist())))
-            for _, _, hashes, which, ends in _tokens(_texts(train)):
-                number, own, before = level.find(hashes)
-                word = number[which]
-                context = np.append(level.n, word[:-1])
-                context[ends[:-1]] = level.n
-                keys, counts = np.unique(context.astype(np.uint64) * width + word.astype(np.uint64), return_counts=True)
-                of, to = keys // width, keys % width
-                # a context's share of all tokens, cut further by its successors
-                order = np.argsort(number)
-                at = order[np.minimum(np.searchsorted(number[order], of.astype(np.int64)), len(order) - 1)]
-                begins = of == np.uint64(level.n)
-                place = np.where(begins, level.total, before[at]) + np.where(begins, texts, own[at]) * (to / float(width))
-                yield _blobs(keys, counts, np.minimum(place * (shards / mass), shards - 1).astype(np.int64))
+            ids, held = b.column("doc_id"), _held(b.column("doc_id").to_pylist())
+            for at, end, hashes, which, ends in _tokens(_texts(b)):
+                number, count = level.find(hashes)
+                first = np.append(0, ends[:-1])
+                add = lambda x, first=first: np.add.reduceat(x, first)
+                own = (np.log10(count + 1.0) - log_all)[which]
+                coded = np.where(number >= 0, number, level.n + 1).astype(kind)[which].tobytes()
+                size = np.dtype(kind).itemsize
+                parts = [coded[size * i : size * j] for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, end - at), pa.array(held[at:end]), pa.array(ends - first), pa.array(add((count > 0)[which].astype(np.int64))), pa.array(add(own)), pa.array(parts, pa.binary())],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "numbers"],
+                )
+
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_NUMBERED}")
+
+
+def _number_kind(level: Words) -> str:
+    return "<u4" if level.n + 2 < 1 << 32 else "<u8"
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], level: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their rows, all words' numbers and those before them (level.n at a text's beginning), and
+    where texts begin."""
+    kind = _number_kind(level)
+    size = np.dtype(kind).itemsize
+    for whole in batches:
+        sizes = np.cumsum(np.asarray(pc.binary_length(whole.column("numbers")), np.int64)) if whole.num_rows else np.zeros(0, np.int64)
+        at = 0
+        while at < whole.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE * size // 6, "right")))
+            b = whole.slice(at, end - at)
+            word = np.frombuffer(b"".join(b.column("numbers").to_pylist()), kind).astype(np.int64)
+            first = (np.append(0, sizes[at : end - 1]) - (sizes[at - 1] if at else 0)) // size
+            first[0] = 0
+            before = np.append(level.n, word[:-1])
+            before[first] = level.n
+            yield b, word, before, first
+            at = end
+
+
+def _place(before: np.ndarray, own: np.ndarray, part: np.ndarray, shards: int, mass: int) -> np.ndarray:
+    """Shards of n-grams by the mass before their contexts, cut further by their successors."""
+    return np.minimum((before + own * part) * (shards / max(mass, 1)), shards - 1).astype(np.int64)
+
+
+def _pairs_of(context: np.ndarray, code: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and each given one's place among them."""
+    keys, back = np.unique(context.astype(np.uint64) * np.uint64(width) + code.astype(np.uint64), return_inverse=True)
+    return (keys // np.uint64(width)).astype(np.int64), (keys % np.uint64(width)).astype(np.int64), back
+
+
+def _written(counted: DataFrame, width: int, path: str, name: str, total_of) -> list[dict]:  # noqa: ANN001
+    """Files of a level from batches' counts by shard; ``total_of`` gives the counts of contexts in order."""
+    spec = "path string, first decimal(20,0), " + ", ".join(f"{k} long" for k in _FILE)
 
     def put(key: tuple, t: pa.Table) -> pa.Table:
+        from decimal import Decimal
+
         keys, counts = _merged(t)
-        of = (keys // width).astype(np.int64)
+        of, code = (keys // np.uint64(width)).astype(np.int64), keys % np.uint64(width)
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         kinds = np.diff(np.append(first, len(of)))
-        total = np.where(of[first] == level.n, texts, level.counts(of[first]))
-        share = (counts - DISCOUNT) / np.repeat(total, kinds)
+        share = (counts - DISCOUNT) / np.repeat(total_of(of[first]), kinds)
         codes = np.rint(np.clip(np.log10(share) / DEEPEST, 0, 1) * 65535).astype("<u2")
+        last = code[first + kinds - 1] + np.uint64(1)
+        base = np.cumsum(last, dtype=np.uint64) - last  # where the context before ends
         pointers = np.zeros(int(of[-1] - of[0]) + 2, np.int64)
         pointers[of[first] - of[0] + 1] = kinds
-        name = f"{path}/pairs-{key[0].as_py()}"
-        _write(name, {"successors": EliasFano.of(keys - keys[0]), "pointers": EliasFano.of(np.cumsum(pointers).astype(np.uint64)), "shares": codes})
-        from decimal import Decimal
+        file = f"{path}/{name}-{key[0].as_py()}"
+        sums = np.append(0, np.cumsum(counts)).astype(np.uint64)
+        _write(file, {"successors": EliasFano.of(code + np.repeat(base, kinds)), "pointers": EliasFano.of(np.cumsum(pointers).astype(np.uint64)), "sums": EliasFano.of(sums), "shares": codes})
+        row = {"path": file, "first": Decimal(int(keys[0]))} | dict(zip(_FILE, (int(of[0]), int(kinds[0]), int(of[-1]), int(kinds[-1]), int(kinds.max()), len(keys), int(counts.sum())), strict=True))
+        return pa.Table.from_pylist([row], pa.schema([("path", pa.string()), ("first", pa.decimal128(20, 0)), *((k, pa.int64()) for k in _FILE)]))
 
-        row = {"path": name, "first": Decimal(int(keys[0])), "first_context": int(of[0]), "first_kinds": int(kinds[0]), "last_context": int(of[-1]), "last_kinds": int(kinds[-1])}
-        return pa.Table.from_pylist([row], pa.schema([("path", pa.string()), ("first", pa.decimal128(20, 0)), *((k, pa.int64()) for k in ("first_context", "first_kinds", "last_context", "last_kinds"))]))
+    made = counted.groupBy("shard").applyInArrow(put, spec)
+    return [r.asDict() | {"first": int(r["first"])} for r in made.collect()]  # a row for each file
 
-    made = docs.mapInArrow(tidy(count), _BLOBS).groupBy("shard").applyInArrow(put, "path string, first decimal(20,0), first_context long, first_kinds long, last_context long, last_kinds long")
-    return Bigrams(level, [r.asDict() | {"first": int(r["first"])} for r in made.collect()], texts)  # a row for each file
 
+def bigrams(rows: DataFrame, level: Words, texts: int, path: str, shards: int) -> Successors:
+    """Level two, from the numbers of training texts."""
+    width, mass = level.n + 2, level.total
 
-def trained(docs: DataFrame) -> Bigrams:
-    """The model of all rows of ``docs`` that are not held out."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, word, before, _ in _sequences(batches, level):
+            of, to, back = _pairs_of(before, word, width)
+            each, at = np.unique(of, return_inverse=True)
+            own, mass_before = level.counts(each)
+            own = np.where(each == level.n, texts, own)
+            keys = of.astype(np.uint64) * np.uint64(width) + to.astype(np.uint64)
+            yield _blobs(keys, np.bincount(back, minlength=len(of)), _place(mass_before[at], own[at], to / float(width), shards, mass + texts))
+
+    total = lambda of: np.where(of == level.n, texts, level.counts(of)[0])
+    return Successors(width, _written(rows.mapInArrow(tidy(count), _BLOBS), width, path, "pairs", total))
+
+
+def trigrams(rows: DataFrame, level: Words, pairs: Successors, path: str, shards: int) -> Successors:
+    """Level three, from the numbers of training texts."""
+    width = max([*(f["widest"] for f in pairs.files), *pairs.split.values(), 0]) + 1  # places, and one that is none
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, word, before, first in _sequences(batches, level):
+            of, to, back = _pairs_of(before, word, pairs.width)
+            _, _, number, place = pairs.find(of, to)
+            later = np.ones(len(word), bool)
+            later[first] = False
+            later = np.flatnonzero(later)
+            if not len(later):
+                continue
+            context, code, again = _pairs_of(number[back[later - 1]], place[back[later]], width)
+            each, at = np.unique(context, return_inverse=True)
+            own, mass_before = pairs.counts(each)
+            keys = context.astype(np.uint64) * np.uint64(width) + code.astype(np.uint64)
+            yield _blobs(keys, np.bincount(again, minlength=len(context)), _place(mass_before[at], own[at], code / float(width), shards, pairs.mass))
+
+    return Successors(width, _written(rows.mapInArrow(tidy(count), _BLOBS), width, path, "triples", lambda of: pairs.counts(of)[0]))
+
+
+def _trained(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of all rows that are not held out, and all rows by numbers."""
+    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(partitions(spark), -(-size // FILE_BYTES))
     path = new_path(spark, "ngrams")
     level = words(rows, path, shards)
-    return bigrams(rows, level, path, 2 * shards) if level.n else Bigrams(level, [], 0)
-
-
-def scored(docs: DataFrame, model: Bigrams | None = None) -> DataFrame:
+    told = staged(numbered(rows, level), "numbers")
+    train = told.filter("NOT held_out").select("numbers")
+    texts = train.count()
+    pairs = bigrams(train, level, texts, path, 2 * shards) if level.n else Successors(2, [])
+    triples = trigrams(train, level, pairs, path, 3 * shards) if level.n else Successors(2, [])
+    return Model(level, pairs, triples, texts), told
+
+
+def trained(docs: DataFrame) -> Model:
+    return _trained(docs.select("doc_id", "text"))[0]
+
+
+def _log10_p(m: Model, word: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Every token's log10 probability."""
+    level, pairs, triples = m.words, m.pairs, m.triples
+    each, at = np.unique(word, return_inverse=True)
+    own = level.counts(np.minimum(each, level.n))[0] * (each < level.n)
+    p = ((own + 1.0) / (level.total + level.n + 1.0))[at]
+    count = np.append(0, own[at][:-1])
+    count[first] = m.texts
+
+    def mixed(p: np.ndarray, share: np.ndarray, kinds: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.where((kinds > 0) & (count > 0), share + DISCOUNT * kinds / np.maximum(count, 1) * p, p)
+
+    of, to, back = _pairs_of(before, word, pairs.width)
+    share, kinds, number, place = pairs.find(of, to)
+    p = mixed(p, share[back], kinds[back], count)
+    seen = np.append(-1, number[back][:-1])  # the bigram before
+    seen[first] = -1
+    later = np.flatnonzero(seen >= 0)
+    code = place[back[later]]
+    of, to, back = _pairs_of(seen[later], np.where(code >= 0, code, triples.width - 1), triples.width)
+    share, kinds, *_ = triples.find(of, to)
+    each, at = np.unique(of, return_inverse=True)
+    p[later] = mixed(p[later], share[back], kinds[back], pairs.counts(each)[0][at][back])
+    return np.log10(p)
+
+
+def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select("doc_id", "text")
-    m = model or trained(docs)
-    level = m.words
+    m, told = (model, staged(numbered(rows, model.words), "numbers")) if model else _trained(rows)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_all = np.log10(level.total + level.n + 1.0)
-        for b in batches:
-            n_tokens, n_known, base, score = [], [], [], []
-            for _, _, hashes, which, ends in _tokens(_texts(b)):
-                context, word, count, _ = _pairs(level, hashes, which, ends)
-                first = np.append(0, ends[:-1])
-                add = lambda x, first=first: np.add.reduceat(x, first)
-                own = np.log10(count + 1.0) - log_all
-                n_tokens.append(ends - first)
-                n_known.append(add((count > 0)[which].astype(np.int64)))
-                base.append(add(own[which]))
-                share, known = np.zeros(len(word)), np.zeros(len(word), np.int64)
-                # an unknown word has a number that follows no context
-                asked = context.astype(np.uint64) * np.uint64(m.width) + np.where(word >= 0, word, level.n + 1).astype(np.uint64)
-                seen = np.flatnonzero(context >= 0)
-                keys, back = np.unique(asked[seen], return_inverse=True)
-                of, to = (keys // np.uint64(m.width)).astype(np.int64), (keys % np.uint64(m.width)).astype(np.int64)
-                s, kinds = m.find(of, to)
-                share[seen] = s[back]
-                counts_of = np.where(context == level.n, m.texts, np.append(0, count[which][:-1]))
-                known[seen] = kinds[back]
-                weight = np.where((known > 0) & (counts_of > 0), DISCOUNT * known / np.maximum(counts_of, 1), 1.0)
-                score.append(add(np.log10(share + weight * 10 ** own[which])))
-            flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(_held(b.column("doc_id").to_pylist())), flat(n_tokens, pa.int64()), flat(n_known, pa.int64()), pa.array(np.full(b.num_rows, level.total)), flat(base, pa.float64()), flat(score, pa.float64())],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for b, word, before, first in _sequences(batches, m.words):
+            score = np.add.reduceat(_log10_p(m, word, before, first), first)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names[:4]), pa.array(np.full(b.num_rows, m.words.total)), b.column("base_score"), pa.array(score)], names)
+
+    return told.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -62,32 +62,34 @@ def repeated(docs: list[str | None], size: int = 35) -> list[tuple[int, int, str
     return out
 
 
-def language_model(docs: list[tuple[int | None, str | None]], discount: float = 0.75) -> list[tuple]:
+def language_model(docs: list[tuple[int | None, str | None]], discount: float = 0.75, order: int = 3) -> list[tuple]:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (without quantising)."""
     import math
     import zlib
-    from collections import Counter, defaultdict
+    from collections import Counter
 
     cut = [[*WORD.findall(lower(t or "")), None] for _, t in docs]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
-    one, two = Counter(), Counter()
+    one = Counter(w for ws, h in zip(cut, held, strict=True) if not h for w in ws)
+    grams: Counter = Counter()
     for ws, h in zip(cut, held, strict=True):
-        if not h:
-            one.update(ws)
-            two.update(zip(["<s>", *ws[:-1]], ws, strict=True))
+        for k in range(2, order + 1):
+            grams.update(() if h else zip(*(["<s>", *ws][j:] for j in range(k)), strict=False))
     n, v = sum(one.values()), len(one)
-    total, kinds = defaultdict(int), defaultdict(int)
-    for (a, _), c in two.items():
-        total[a] += c
-        kinds[a] += 1
+    total, kinds = Counter(), Counter()
+    for g, c in grams.items():
+        total[g[:-1]] += c
+        kinds[g[:-1]] += 1
     out = []
     for (i, _), ws, h in zip(docs, cut, held, strict=True):
         base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws)
         score = 0.0
-        for a, w in zip(["<s>", *ws[:-1]], ws, strict=True):
+        for at, w in enumerate(ws):
             p = (one[w] + 1) / (n + v + 1)
-            if total[a]:
-                p = max(two[a, w] - discount, 0) / total[a] + discount * kinds[a] / total[a] * p
+            for k in range(2, order + 1):
+                context = tuple(["<s>", *ws][max(0, at - k + 2) : at + 1])
+                if len(context) == k - 1 and total[context]:
+                    p = max(grams[*context, w] - discount, 0) / total[context] + discount * kinds[context] / total[context] * p
             score += math.log10(p)
         out.append((i, h, len(ws), sum(one[w] > 0 for w in ws), n, base, score))
     return out
