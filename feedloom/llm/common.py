@@ -58,11 +58,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage: written as Parquet to the shared folder and read back, so a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

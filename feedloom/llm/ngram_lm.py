@@ -50,6 +50,10 @@ END = xxhash.xxh3_64_intdigest(b"\n")
 DEEPEST = -16.0
 
 
+#: Place of the r-th bit that is set, by byte and r.
+_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + 8 * [0])[:8] for b in range(256)], np.uint8)
+
+
 class EliasFano:
     """A sorted array of unsigned 64-bit integers: low bits packed, high bits in unary."""
 
@@ -95,13 +99,22 @@ class EliasFano:
         bits = self.high[word] if one else ~self.high[word]
         rest = (i - before[word].astype(np.int64)).astype(np.int64)
         place = np.zeros(len(i), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
+        for half in (32, 16, 8):
             count = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
             beyond = rest >= count
             rest -= np.where(beyond, count, 0)
             place += np.where(beyond, half, 0)
             bits = np.where(beyond, bits >> np.uint64(half), bits)
-        return word * 64 + place
+        return word * 64 + place + _IN_BYTE[(bits & np.uint64(255)).astype(np.int64), rest & 7]
+
+    def _next(self, at: np.ndarray, i: np.ndarray, one: bool) -> np.ndarray:
+        """Place of the bit that is set, or not, after the i-th one, which is at ``at``."""
+        bits = self.high[at >> 6] if one else ~self.high[at >> 6]
+        rest = (bits >> (at & 63).astype(np.uint64)) >> np.uint64(1)
+        out = at + 1 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        if len(far := np.flatnonzero(rest == 0)):
+            out[far] = self._select(i[far] + 1, one)
+        return out
 
     def _zeros(self) -> np.ndarray:
         if not hasattr(self, "_cached"):
@@ -114,6 +127,15 @@ class EliasFano:
             return np.zeros(0, np.uint64)
         return (self._select(i, True) - i).astype(np.uint64) << np.uint64(self.width) | self._low(i)
 
+    def get2(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th and the next."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        at = self._select(i, True)
+        width = np.uint64(self.width)
+        return (at - i).astype(np.uint64) << width | self._low(i), (self._next(at, i, True) - i - 1).astype(np.uint64) << width | self._low(i + 1)
+
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Where each of ``x`` is, in [begin, end) if told; -1 where it is not."""
         if not self.n or not len(x):
@@ -122,8 +144,10 @@ class EliasFano:
         most = len(self.high) * 64 - int(self.ones[-1])
         known = high < most
         high = np.where(known, high, 0)
-        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
-        last = self._select(high, False) - high
+        before = np.maximum(high - 1, 0)
+        at = self._select(before, False)
+        first = np.where(high > 0, at - before, 0)
+        last = np.where(high > 0, self._next(at, np.where(high > 0, before, 0), False) - high, at) if most > 1 else at
         if begin is not None:
             first, last = np.maximum(first, begin), np.minimum(last, end)
         last = np.where(known, np.minimum(last, self.n), first)
@@ -182,7 +206,7 @@ def _mapped(path: str) -> dict:
     n = int.from_bytes(whole[:8].tobytes(), "little")
     out = {}
     for k, x in json.loads(whole[8 : 8 + n].tobytes()).items():
-        own = [whole[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for kind, size, at in x["arrays"]]
+        own = [np.asarray(whole[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize]).view(kind) for kind, size, at in x["arrays"]]  # still mapped
         out[k] = EliasFano(x["n"], x["width"], *own) if x["width"] is not None else own[0]
     return out
 
@@ -287,7 +311,8 @@ class Words:
             at = level["hashes"].find(hashes[own])
             own, at = own[at >= 0], at[at >= 0]
             number[own] = self.firsts[s] + at
-            count[own] = (level["sums"].get(at + 1) - level["sums"].get(at)).astype(np.int64)
+            low, high = level["sums"].get2(at)
+            count[own] = (high - low).astype(np.int64)
         return number, count
 
     def counts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,8 +322,8 @@ class Words:
             a, b = np.searchsorted(numbers, [self.firsts[s], self.firsts[s] + n])
             if b > a:
                 sums, at = _mapped(path)["sums"], numbers[a:b] - self.firsts[s]
-                low = sums.get(at).astype(np.int64)
-                out[a:b], before[a:b] = sums.get(at + 1).astype(np.int64) - low, self.tokens[s] + low
+                low, high = (x.astype(np.int64) for x in sums.get2(at))
+                out[a:b], before[a:b] = high - low, self.tokens[s] + low
         return out, before
 
 
@@ -370,7 +395,7 @@ class Successors:
             each, back = own[new], np.cumsum(new) - 1
             inside = (each >= f["first_context"]) & (each <= f["last_context"])
             local = np.clip(each - f["first_context"], 0, level["pointers"].n - 2)
-            begin, end = level["pointers"].get(local).astype(np.int64), level["pointers"].get(local + 1).astype(np.int64)
+            begin, end = (x.astype(np.int64) for x in level["pointers"].get2(local))
             end = np.where(inside, end, begin)
             kinds[a:b] = (end - begin)[back]
             base = np.where(begin > 0, level["successors"].get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
@@ -390,8 +415,8 @@ class Successors:
         for a, b in _groups(np.searchsorted(self.begins, numbers, "right") - 1):
             i = int(np.searchsorted(self.begins, numbers[a], "right") - 1)
             sums, at = _mapped(self.files[i]["path"])["sums"], numbers[a:b] - self.begins[i]
-            low = sums.get(at).astype(np.int64)
-            out[a:b], before[a:b] = sums.get(at + 1).astype(np.int64) - low, self.masses[i] + low
+            low, high = (x.astype(np.int64) for x in sums.get2(at))
+            out[a:b], before[a:b] = high - low, self.masses[i] + low
         return out, before
 
 
@@ -538,7 +563,7 @@ def _trained(rows: DataFrame) -> tuple[Model, DataFrame]:
     shards = max(partitions(spark), -(-size // FILE_BYTES))
     path = new_path(spark, "ngrams")
     level = words(rows, path, shards)
-    told = staged(numbered(rows, level), "numbers")
+    told = staged(numbered(rows, level), "numbers", "zstd")
     train = told.filter("NOT held_out").select("numbers")
     texts = train.count()
     pairs = bigrams(train, level, texts, path, 2 * shards) if level.n else Successors(2, [])
@@ -579,7 +604,7 @@ def _log10_p(m: Model, word: np.ndarray, before: np.ndarray, first: np.ndarray)
 def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select("doc_id", "text")
-    m, told = (model, staged(numbered(rows, model.words), "numbers")) if model else _trained(rows)
+    m, told = (model, staged(numbered(rows, model.words), "numbers", "zstd")) if model else _trained(rows)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

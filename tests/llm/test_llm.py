@@ -499,6 +499,12 @@ def test_elias_fano():
         x = np.sort(r.integers(0, top, n)).astype(np.uint64)
         ef = ngram_lm.EliasFano.of(x)
         assert (ef.get(np.arange(n)) == x).all()
+        if n > 1:
+            assert all((a == b).all() for a, b in zip(ef.get2(np.arange(n - 1)), (x[:-1], x[1:]), strict=True))
+        if n:
+            asked = np.unique(np.concatenate([x, x + np.uint64(1), r.integers(0, top + 9, 50).astype(np.uint64)]))
+            found = ef.find(asked)
+            assert ((found >= 0) == np.isin(asked, x)).all() and (x[found[found >= 0]] == asked[found >= 0]).all()
 
 
 # --- 10
