@@ -33,8 +33,8 @@ from .components import components
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-#: Nodes of a chunk; a chunk pair holds twice as many.
-CHUNK = 16_384
+#: Nodes of a chunk; a chunk pair holds twice as many, 2 MB. A chunk travels once for each pair that it is in.
+CHUNK = 131_072
 _STEP = 65_536
 _HALF = np.uint64(0xFFFFFFFF)
 _QUARTERS = [np.uint64(0xFFFF << 16 * k) for k in range(4)]
