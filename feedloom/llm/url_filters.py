@@ -10,8 +10,8 @@ bytes each) and grows with the logarithm of the corpus only. The universe is one
 combine; a hot host is one key of it.
 
 Defined results: a null url, or one without ://, has empty host and path, no rule, and is allowed. Rows are judged one
-by one, so repeated rows and ids need no care; an empty table gives an empty result. Columns besides page_id and url
-are not read.
+by one, so repeated rows, null ids and very long urls need no care; an empty table gives an empty result, an empty list
+of rules or hosts fits nothing. Columns besides page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,11 +105,11 @@ def build(listed: list[str], universe: DataFrame) -> Cascade:
                 at = [i for i in at.tolist() if (int(h1[i]), int(h2[i])) not in own]
                 yield b.take(pa.array(at, pa.int64()))
 
-        wrong = universe.select("h1", "h2").mapInArrow(passing, "h1 long, h2 long").limit(bound + 1).collect()
-        if len(wrong) <= bound:
+        wrong = universe.select("h1", "h2").mapInArrow(passing, "h1 long, h2 long").limit(bound + 1).toArrow()
+        if wrong.num_rows <= bound:
             break
         rate /= 8
-    no = tuple(np.array([r[k] for r in wrong], np.int64).view(np.uint64) for k in (0, 1))
+    no = tuple(np.asarray(wrong.column(k), np.int64).view(np.uint64) for k in (0, 1))
     levels, inside, outside = [first], no, yes
     while len(inside[0]):
         levels.append(Bloom(*inside, 0.5, len(levels) + 1))
@@ -128,6 +128,8 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
 
 def candidates(host: Column, path: Column, listed: list[str]) -> Column:
     """Every key that could fit: the host's last labels with the path's beginnings, of the lengths that the list has."""
+    if not listed:
+        return F.array().cast("array<string>")
     hosts, paths = zip(*((k.partition("/")[0], k[len(k.partition("/")[0]) :]) for k in listed), strict=True)
     most, lengths = max(h.count(".") + 1 for h in hosts), sorted({len(p) for p in paths})
     labels = F.split(host, r"\.", -1)
@@ -157,6 +159,6 @@ def judged(pages: DataFrame, rules: dict[str, str], blocked: list[str]) -> DataF
     told = told.withColumn("hits", hits)
     of_rules = F.filter("hits", lambda k: k.isin(list(rules)))
     told = told.withColumn("rule", F.aggregate(of_rules, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a)))
-    verdicts = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
+    verdicts = F.create_map(*[F.lit(x) for kv in (rules or {"": ""}).items() for x in kv])
     method = F.when(F.size("hits") > 0, "block").otherwise("allow")
     return told.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), verdicts[F.col("rule")]).otherwise(method).alias("verdict"))

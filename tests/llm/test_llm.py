@@ -77,6 +77,11 @@ def test_url_rules(spark):
     assert got[8][2:] == ("org/", "allow") and got[9][2:] == (None, "allow")
     assert got[10][:2] == ("b:", "//c/d")
     assert url_filters.judged(df.limit(0), queries.URL_RULES, []).count() == 0
+    assert {r.verdict for r in url_filters.judged(df, {}, []).collect()} == {"allow"}
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filters.judged(df, {}, ["org"]).collect()]
+    assert all(rule is None and verdict == ("block" if i in (2, 3, 8, 9) else "allow") for i, rule, verdict in got)
+    odd = spark.createDataFrame([(None, "http://x.org/" + "a" * 100_000, "h", "k"), (1, "http://com/de/", "h", "k"), (1, "http://com/de/", "h", "k")], "page_id long, url string, host string, keys string")
+    assert rows(url_filters.judged(odd, queries.URL_RULES, queries.BLOCKED_SITES).select("page_id", "rule", "verdict")) == [(1, "com/de/", "block"), (1, "com/de/", "block"), (None, "org/", "allow")]
 
 
 # --- 2
@@ -90,6 +95,8 @@ def test_quality_measures(odd):
         grams = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
         rep = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(ws), sum(map(len, ws)), len(lines) - len(set(lines)), len(rep))
+        failed = len(ws) < 10 or 100 * len(rep) > 20 * len(ws)
+        assert (r.n_symbols, r.n_lines, r.base_failed) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines), failed) and not (r.kept and failed)
     assert quality_rules.quality(odd.limit(0)).count() == 0
 
 
@@ -416,6 +423,18 @@ def test_balanced_cost():
     pieces = packing.assign([900, 800, 700, 300, 200, 100, 50, 46, 1000], 2048)
     assert sum(n for *_, n, _ in pieces) == 4096
     assert {d for d, *_ in pieces} == set(range(9))
+    r = random.Random(7)
+    lengths = [r.randint(30, 900) for _ in range(600)]
+    cost = lambda ps: [sum(n + n * n / 2048 for *_, n, s in ps if s == k) for k in range(1 + max(s for *_, s in ps))]
+    in_order, room, at = [], 2048, 0
+    for d, n in enumerate(lengths):  # one after the other, cut where a sequence ends
+        while n:
+            part = min(n, room)
+            in_order.append((d, 0, part, at))
+            n, room = n - part, room - part
+            if not room:
+                room, at = 2048, at + 1
+    assert np.std(cost(packing.assign(lengths, 2048))) < 0.7 * np.std(cost(in_order))
 
 
 # --- 8
