@@ -19,8 +19,9 @@ MOST_TRIGRAMS = 2_000_000
 
 def train(texts: DataFrame, lang: str, text: str) -> DataFrame:
     """(lang, trigram, freq) over all texts."""
-    w = texts.select(F.col(lang).alias("lang"), F.explode(words(F.col(text))).alias("w"))
-    return w.select("lang", F.explode(trigrams(F.col("w"))).alias("trigram")).groupBy("lang", "trigram").agg(F.count("*").alias("freq"))
+    w = texts.select(F.col(lang).alias("lang"), F.explode(words(F.col(text))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    # a word's trigrams are cut once, however often it is said
+    return w.select("lang", F.explode(trigrams(F.col("w"))).alias("trigram"), "n").groupBy("lang", "trigram").agg(F.sum("n").alias("freq"))
 
 
 def detect(texts: DataFrame, profile: DataFrame, key: str, text: str) -> DataFrame:
