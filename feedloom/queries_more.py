@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, ids, langdetect, text, url
+from .operators import state as states
 from .operators import actions, catalog, lookup, masks, merge, ordered, ranges, rollups, schedule, trees
 from .queries import _POSTS, _tree, events, posts, query, table
 from .sources import feeds as feed_sources
@@ -546,3 +547,92 @@ def skipped_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tree(spark, sf_dir)
     read = ranges.from_items(t.filter("idx = 0"), ["tree"], "idx")
     return actions.skipped(trees.paths(t), t.filter("idx = 1"), t.select("tree").distinct().withColumn("count", F.lit(5)), read)
+
+
+# --- predicates and lookups
+
+
+@query("""WITH d AS (SELECT source AS feed, max(doc_id) AS t FROM documents GROUP BY 1), w AS (SELECT *, right(feed, 1) IN ('1', '3', '5') AS expanded FROM d),
+c AS (SELECT source AS feed, max(doc_id) + 7 AS v FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT w.feed FROM w LEFT JOIN c USING (feed) WHERE t >= (SELECT max(doc_id) - 20 FROM documents) OR (expanded AND v >= (SELECT max(doc_id) - 20 FROM documents))""")
+def newer_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("feed"), F.col("doc_id").alias("dl_time"))
+    since = d.agg((F.max("dl_time") - 20).alias("since"))
+    wanted = d.select("feed").distinct().withColumn("expanded", F.substring("feed", -1, 1).isin("1", "3", "5")).join(F.broadcast(since))
+    return states.newer_feeds(d, d.filter("dl_time % 3 = 0").select("feed", (F.col("dl_time") + 7).alias("version")), wanted)
+
+
+@query("SELECT l_orderkey AS owner, CASE WHEN bool_or(l_linenumber = 6) THEN true ELSE sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END) = 0 END AS empty FROM lineitem GROUP BY 1")
+def empty_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.expr("CASE WHEN l_linenumber = 6 THEN 'error' ELSE 'ok' END").alias("state"), F.expr("CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END").alias("size"))
+    return states.empty_masks(m, ["owner"], on_error=True)
+
+
+@query("""SELECT c_custkey AS "user", CASE c_custkey % 4 WHEN 0 THEN true WHEN 3 THEN false ELSE TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 60 AS INTEGER)) > TIMESTAMP '2024-02-01' END AS paid FROM customer""")
+def paid_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'paid' WHEN 2 THEN 'trial' END").alias("state"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, CAST(c_custkey % 60 AS INT))").alias("till"))
+    return c.select("user", states.is_paid(F.col("state"), F.col("till"), datetime(2024, 2, 1, tzinfo=UTC)).alias("paid"))
+
+
+@query("""SELECT o_custkey AS "user", o_orderkey AS feed, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS ascending, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 = 0 ELSE true END AS unread_only, o_orderkey % 3 = 0 AS expanded FROM orders""")
+def feed_view_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("feed"))
+    chosen = o.filter("feed % 3 = 0").select("user", "feed", F.expr("feed % 2 = 0").alias("ascending"), F.expr("feed % 5 = 0").alias("unread_only"), F.lit(True).alias("expanded"))
+    return states.view_modes(o, chosen, ["user", "feed"])
+
+
+@query("""SELECT count(DISTINCT lower(role || (conv_id % 7))) AS authors, (SELECT coalesce(avg(n) FILTER (n < 6), 0.0) FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)) AS average FROM conversations""")
+def author_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.expr("CASE WHEN turn % 2 = 0 THEN upper(concat(role, conv_id % 7)) ELSE concat(role, conv_id % 7) END").alias("author"))
+    sizes = c.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return states.distinct_authors(c, "author").join(F.broadcast(states.average_size(sizes, "n", 6)))  # one row each
+
+
+_TAGGED = "(SELECT user_id AS feed, CASE WHEN event_id % 5 = 0 THEN [] WHEN event_id % 3 = 0 THEN ['starred'] ELSE [event_type, 'starred'] END AS tags FROM events)"
+
+
+def _tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.expr("CASE WHEN event_id % 5 = 0 THEN CAST(array() AS ARRAY<STRING>) WHEN event_id % 3 = 0 THEN array('starred') ELSE array(event_type, 'starred') END")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("feed"), tags.alias("tags"))
+
+
+@query(f"SELECT DISTINCT feed, unnest(CASE WHEN len(tags) > 1 THEN list_prepend(NULL, tags) ELSE tags END) AS tag FROM {_TAGGED}")
+def feed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.tags_of_feeds(_tagged_events(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT unnest(tags) AS tag, feed FROM {_TAGGED} WHERE feed % 2 = 0")
+def tag_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _tagged_events(spark, sf_dir)
+    return states.feeds_of_tag(items, items.select("feed").filter("feed % 2 = 0").distinct())
+
+
+@query("""SELECT c_custkey AS "user", coalesce(n_name, '-') AS country, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS paid FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3""")
+def users_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), "c_nationkey")
+    n = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country"))
+    return states.users_by_country(c, c.join(n, "c_nationkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user")))
+
+
+_LOGO_PATH = "CASE page_id % 4 WHEN 0 THEN '/assets/Logo.png' WHEN 1 THEN concat('/images/', page_id, '.png') WHEN 2 THEN '/favicon.gif?rss=icon' ELSE '' END"
+
+
+@query(f"SELECT page_id, len(list_filter(regexp_split_to_array(lower({_LOGO_PATH}), '[/.\\-_?=&]'), lambda x: x NOT IN ({', '.join(f"'{x}'" for x in states.LOGO_PARTS)}))) = 0 AND {_LOGO_PATH} <> '' AS logo FROM pages")
+def logo_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", states.looks_like_logo(F.expr(_LOGO_PATH)).alias("logo"))
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), r AS (SELECT user_id AS "user", ts, CAST(floor(value / 10) AS BIGINT) AS url, event_id AS "to" FROM events, m WHERE epoch(now) - epoch(date_trunc('second', ts)) < 86400 + (epoch(now) - epoch(date_trunc('second', now)))),
+k AS (SELECT *, row_number() OVER (PARTITION BY "user", url ORDER BY ts DESC, "to") AS n FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, url) AS i FROM k WHERE n = 1) SELECT "user", url, "to" FROM t WHERE i <= 5""")
+def valid_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").alias("time"), F.floor(F.col("value") / 10).alias("url"), F.col("event_id").alias("to"))
+    now = e.agg(F.max("time").alias("now"))
+    return states.valid_renames(e.join(F.broadcast(now)), F.col("now"), 5).select("user", "url", "to")
+
+
+@query("""WITH p AS (SELECT source, doc_id, doc_id - 40 * (doc_id % 3) AS dl, doc_id AS t FROM documents), b AS (SELECT CAST(max(doc_id) * 0.7 AS BIGINT) AS least FROM documents),
+o AS (SELECT source, doc_id, bool_or(dl < least AND t < least) OVER (PARTITION BY source ORDER BY t DESC, doc_id DESC ROWS UNBOUNDED PRECEDING) AS gone FROM p, b) SELECT source AS feed, doc_id FROM o WHERE NOT gone""")
+def newest_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("feed"), "doc_id", F.col("doc_id").alias("post_idx"), F.expr("doc_id - 40 * (doc_id % 3)").alias("dl_time"), F.col("doc_id").alias("time"))
+    least = d.agg(F.round(F.max("doc_id") * 0.7).cast("long").alias("least"))
+    return states.until_older(d.join(F.broadcast(least)), F.col("least")).select("feed", "doc_id")
