@@ -416,14 +416,14 @@ def page_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_sources.discovered(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query("""SELECT source AS feed, CAST(doc_id AS VARCHAR) AS guid, 'Post ' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS subject, CAST(length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS INTEGER) AS n, 1700000000 + doc_id AS t FROM documents""")
 def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts written as one Atom document per feed and parsed again."""
     p = posts(spark, sf_dir, words=False).withColumn("subject", F.concat(F.lit("Post "), F.col("post_idx").cast("string"))).withColumn("guid", F.col("doc_id").cast("string"))
     return feed_sources.parsed(sinks.atom(p)).select("feed", F.explode("items").alias("i")).select("feed", "i.guid", "i.subject", F.length("i.body").alias("n"), F.unix_seconds("i.published").alias("t"))
 
 
-@query()
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS "user", 'http://example.org/' || c_custkey AS url, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS folders FROM customer""")
 def opml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions by customer written as OPML and parsed again."""
     c = table(spark, sf_dir, "customer")
