@@ -199,7 +199,7 @@ class Reader:
 
     def contents(self, items: DataFrame) -> DataFrame:
         """items(item_id) -> their posts; ids of posts that are gone are left out."""
-        wanted = items.limit(MOST_CONTENTS).select("item_id", ids.unpack(F.col("item_id")).alias("_i")).select("item_id", F.col("_i.feed").alias("feed_id"), F.col("_i.post").alias("post_idx"))
+        wanted = items.orderBy("item_id").limit(MOST_CONTENTS).select("item_id", ids.unpack(F.col("item_id")).alias("_i")).select("item_id", F.col("_i.feed").alias("feed_id"), F.col("_i.post").alias("post_idx"))
         return self.posts.withColumns({"feed_id": F.col("feed_id").cast("long"), "post_idx": F.col("post_idx").cast("long")}).join(wanted, ["feed_id", "post_idx"])
 
     def public_feed(self, s: Selection) -> DataFrame:
