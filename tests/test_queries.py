@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from feedloom import queries, queries_more  # noqa: F401
+from feedloom import queries, queries_accounts, queries_more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
