@@ -469,7 +469,7 @@ o AS (SELECT u, row_number() OVER (ORDER BY u) AS k FROM n), g AS (SELECT CAST(0
  SELECT g.k + 1, CASE WHEN list_contains(g.gone, o.u) THEN g.gone ELSE list_distinct(list_concat(g.gone, coalesce((SELECT list(b) FROM p WHERE p.a = o.u), []))) END FROM g JOIN o ON o.k = g.k + 1)
 SELECT unnest(gone) AS "user" FROM g WHERE k = (SELECT max(k) FROM g)""")
 def duplicate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.duplicate_users(catalog.similar_users(events(spark, sf_dir).select(F.col("user_id").alias("user"), F.floor(F.col("value") / 4).alias("feed"))))
+    return catalog.duplicate_subscribers(events(spark, sf_dir).select(F.col("user_id").alias("user"), F.floor(F.col("value") / 4).alias("feed")))
 
 
 # --- hits, saved queries, deltas, lookups, schedule

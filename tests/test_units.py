@@ -255,6 +255,11 @@ def test_similar_users_equal_brute_force(spark, monkeypatch, percent):
     rows, subs = _subscriptions(spark)
     pairs = _alike(rows, percent)
     assert sorted(map(tuple, catalog.similar_users(subs, percent).collect())) == pairs
+    gone = set()
+    for a, b, *_ in pairs:
+        if a not in gone:
+            gone.add(b)
+    assert sorted(r.user for r in catalog.duplicate_subscribers(subs, percent).collect()) == sorted(gone)
 
 
 @pytest.fixture
@@ -278,6 +283,14 @@ def test_pairs_of_similar_users_are_not_shuffled(spark, copies):
     assert _written(spark) - before < 50_000
 
 
+def test_duplicate_users_make_no_pairs_of_copies(spark, copies):
+    from feedloom import queries, queries_more  # noqa: F401
+
+    before = _written(spark)
+    assert sorted(r.user for r in queries.QUERIES["duplicate_users"](spark, copies).collect()) == [*range(1, 700)]
+    assert _written(spark) - before < 50_000
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k int, lo long, hi long")
     for op in (ranges.union, ranges.intersection, ranges.difference):
