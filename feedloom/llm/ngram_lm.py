@@ -51,7 +51,11 @@ DEEPEST = -16.0
 
 
 #: Place of the r-th bit that is set, by byte and r.
-_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + 8 * [0])[:8] for b in range(256)], np.uint8)
+_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + 8 * [0])[:8] for b in range(256)], np.uint8).ravel()
+#: The lowest and the highest bit of every byte of a word.
+_LOWEST, _HIGHEST = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Probabilities by their codes.
+_SHARES = 10 ** (np.arange(65536) * (DEEPEST / 65535))
 
 
 class EliasFano:
@@ -85,27 +89,33 @@ class EliasFano:
         if not self.width:
             return np.zeros(len(i), np.uint64)
         at = i.astype(np.uint64) * np.uint64(self.width)
-        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        x = self.low[word] >> shift
-        over = shift + np.uint64(self.width) > np.uint64(64)
-        x = np.where(over, x | self.low[np.minimum(word + 1, len(self.low) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), x)
+        if self.width <= 57:  # lies in the eight bytes from its first on
+            x = self._bytes()[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7))
+        else:
+            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            x = self.low[word] >> shift
+            over = shift + np.uint64(self.width) > np.uint64(64)
+            x = np.where(over, x | self.low[np.minimum(word + 1, len(self.low) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), x)
         return x & np.uint64((1 << self.width) - 1)
 
+    def _bytes(self) -> np.ndarray:
+        """The eight bytes from each byte of the low bits on, as a number."""
+        if not hasattr(self, "_eights"):
+            self._eights = np.ndarray((self.low.nbytes - 7,), "<u8", self.low, 0, (1,))
+        return self._eights
+
     def _select(self, i: np.ndarray, one: bool) -> np.ndarray:
         """Place of the i-th (from 0) bit that is set, or not."""
         before = self.ones if one else self._zeros()
-        word = np.searchsorted(before, i, "right") - 1
+        word = np.searchsorted(before, i.astype(before.dtype), "right") - 1
         word = np.minimum(word, len(self.high) - 1)
         bits = self.high[word] if one else ~self.high[word]
-        rest = (i - before[word].astype(np.int64)).astype(np.int64)
-        place = np.zeros(len(i), np.int64)
-        for half in (32, 16, 8):
-            count = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
-            beyond = rest >= count
-            rest -= np.where(beyond, count, 0)
-            place += np.where(beyond, half, 0)
-            bits = np.where(beyond, bits >> np.uint64(half), bits)
-        return word * 64 + place + _IN_BYTE[(bits & np.uint64(255)).astype(np.int64), rest & 7]
+        rest = (i - before[word]).astype(np.uint64)
+        upto = np.bitwise_count(bits.view(np.uint8)).view(np.uint64) * _LOWEST  # in each byte: set bits up to its end
+        byte = np.bitwise_count(((rest * _LOWEST | _HIGHEST) - upto) & _HIGHEST) * np.uint64(8)  # bytes that end before it
+        rest -= upto << np.uint64(8) >> byte & np.uint64(255)
+        at = (bits >> byte & np.uint64(255)) << np.uint64(3) | rest & np.uint64(7)
+        return word * 64 + byte.astype(np.int64) + _IN_BYTE[at.astype(np.int64)]
 
     def _next(self, at: np.ndarray, i: np.ndarray, one: bool) -> np.ndarray:
         """Place of the bit that is set, or not, after the i-th one, which is at ``at``."""
@@ -118,7 +128,7 @@ class EliasFano:
 
     def _zeros(self) -> np.ndarray:
         if not hasattr(self, "_cached"):
-            self._cached = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+            self._cached = (np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones).astype(np.uint32)
         return self._cached
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -219,7 +229,7 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, end - at)))
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
         empty = distinct.index("") if "" in distinct else -1  # what white space at a text's edge leaves
         which = np.asarray(coded.indices, np.int64)
         stops = np.cumsum(np.asarray(words.value_lengths(), np.int64))
@@ -398,11 +408,15 @@ class Successors:
             begin, end = (x.astype(np.int64) for x in level["pointers"].get2(local))
             end = np.where(inside, end, begin)
             kinds[a:b] = (end - begin)[back]
-            base = np.where(begin > 0, level["successors"].get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-            at = level["successors"].find(code[a:b].astype(np.uint64) + base[back], begin[back], end[back])
+            low, high = level["successors"].get2(np.maximum(begin - 1, 0))
+            base = np.where(begin > 0, low + np.uint64(1), np.uint64(0))
+            asked = code[a:b].astype(np.uint64) + base[back]
+            at = np.where((kinds[a:b] == 1) & (np.where(begin > 0, high, low)[back] == asked), begin[back], -1)  # the only successor
+            more = np.flatnonzero(kinds[a:b] > 1)
+            at[more] = level["successors"].find(asked[more], begin[back[more]], end[back[more]])
             hit = np.flatnonzero(at >= 0)
             at = at[hit]
-            share[a + hit] = 10 ** (level["shares"][at].astype(np.float64) * (DEEPEST / 65535))
+            share[a + hit] = _SHARES[level["shares"][at]]
             number[a + hit] = self.begins[i] + at
             place[a + hit] = at - begin[back[hit]] + np.where(own[hit] == f["first_context"], self.skipped[i], 0)
         for c, n in self.split.items():
@@ -459,9 +473,8 @@ def _number_kind(level: Words) -> str:
     return "<u4" if level.n + 2 < 1 << 32 else "<u8"
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], level: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Some texts at a time: their rows, all words' numbers and those before them (level.n at a text's beginning), and
-    where texts begin."""
+def _sequences(batches: Iterator[pa.RecordBatch], level: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their rows, all words' numbers, and where texts begin."""
     kind = _number_kind(level)
     size = np.dtype(kind).itemsize
     for whole in batches:
@@ -473,9 +486,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], level: Words) -> Iterator[tupl
             word = np.frombuffer(b"".join(b.column("numbers").to_pylist()), kind).astype(np.int64)
             first = (np.append(0, sizes[at : end - 1]) - (sizes[at - 1] if at else 0)) // size
             first[0] = 0
-            before = np.append(level.n, word[:-1])
-            before[first] = level.n
-            yield b, word, before, first
+            yield b, word, first
             at = end
 
 
@@ -484,12 +495,45 @@ def _place(before: np.ndarray, own: np.ndarray, part: np.ndarray, shards: int, m
     return np.minimum((before + own * part) * (shards / max(mass, 1)), shards - 1).astype(np.int64)
 
 
-def _pairs_of(context: np.ndarray, code: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, and each given one's place among them."""
-    keys, back = np.unique(context.astype(np.uint64) * np.uint64(width) + code.astype(np.uint64), return_inverse=True)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and each given one's place among them."""
+    keys = keys.astype(np.uint64)
+    room = (len(keys) - 1).bit_length() if len(keys) else 0
+    if len(keys) and int(keys.max()).bit_length() + room <= 64:  # sorted with their places, which is faster than argsort
+        both = np.sort(keys << np.uint64(room) | np.arange(len(keys), dtype=np.uint64))
+        order, keys = (both & np.uint64((1 << room) - 1)).astype(np.int64), both >> np.uint64(room)
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    first, place = _runs(keys)
+    back = np.empty(len(keys), np.int64)
+    back[order] = place
+    return keys[first], back
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and each value's run."""
+    new = np.append(True, sorted_[1:] != sorted_[:-1])[: len(sorted_)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _pairs_of(context: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of places in order, and each given one's place among them."""
+    width = int(code.max()) + 1
+    keys, back = _distinct(context * width + code)
     return (keys // np.uint64(width)).astype(np.int64), (keys % np.uint64(width)).astype(np.int64), back
 
 
+def _bigrams_of(word: np.ndarray, first: np.ndarray, level: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams in order and each one's place among them; distinct words (and the beginning) likewise."""
+    each, at = _distinct(np.append(word, level.n))
+    context = np.append(at[-1], at[:-2])
+    context[first] = at[-1]
+    of, to, back = _pairs_of(context, at[:-1])
+    each = each.astype(np.int64)
+    return each[of], each[to], back, each, at[:-1]
+
+
 def _written(counted: DataFrame, width: int, path: str, name: str, total_of) -> list[dict]:  # noqa: ANN001
     """Files of a level from batches' counts by shard; ``total_of`` gives the counts of contexts in order."""
     spec = "path string, first decimal(20,0), " + ", ".join(f"{k} long" for k in _FILE)
@@ -522,9 +566,10 @@ def bigrams(rows: DataFrame, level: Words, texts: int, path: str, shards: int) -
     width, mass = level.n + 2, level.total
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, word, before, _ in _sequences(batches, level):
-            of, to, back = _pairs_of(before, word, width)
-            each, at = np.unique(of, return_inverse=True)
+        for _, word, first in _sequences(batches, level):
+            of, to, back, *_ = _bigrams_of(word, first, level)
+            begin, at = _runs(of)
+            each = of[begin]
             own, mass_before = level.counts(each)
             own = np.where(each == level.n, texts, own)
             keys = of.astype(np.uint64) * np.uint64(width) + to.astype(np.uint64)
@@ -539,17 +584,18 @@ def trigrams(rows: DataFrame, level: Words, pairs: Successors, path: str, shards
     width = max([*(f["widest"] for f in pairs.files), *pairs.split.values(), 0]) + 1  # places, and one that is none
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, word, before, first in _sequences(batches, level):
-            of, to, back = _pairs_of(before, word, pairs.width)
+        for _, word, first in _sequences(batches, level):
+            of, to, back, *_ = _bigrams_of(word, first, level)
             _, _, number, place = pairs.find(of, to)
             later = np.ones(len(word), bool)
             later[first] = False
             later = np.flatnonzero(later)
             if not len(later):
                 continue
-            context, code, again = _pairs_of(number[back[later - 1]], place[back[later]], width)
-            each, at = np.unique(context, return_inverse=True)
-            own, mass_before = pairs.counts(each)
+            of, to, again = _pairs_of(back[later - 1], back[later])
+            context, code = number[of], place[to]
+            begin, at = _runs(context)
+            own, mass_before = pairs.counts(context[begin])
             keys = context.astype(np.uint64) * np.uint64(width) + code.astype(np.uint64)
             yield _blobs(keys, np.bincount(again, minlength=len(context)), _place(mass_before[at], own[at], code / float(width), shards, pairs.mass))
 
@@ -575,10 +621,10 @@ def trained(docs: DataFrame) -> Model:
     return _trained(docs.select("doc_id", "text"))[0]
 
 
-def _log10_p(m: Model, word: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _log10_p(m: Model, word: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Every token's log10 probability."""
     level, pairs, triples = m.words, m.pairs, m.triples
-    each, at = np.unique(word, return_inverse=True)
+    of, to, back, each, at = _bigrams_of(word, first, level)
     own = level.counts(np.minimum(each, level.n))[0] * (each < level.n)
     p = ((own + 1.0) / (level.total + level.n + 1.0))[at]
     count = np.append(0, own[at][:-1])
@@ -587,17 +633,18 @@ def _log10_p(m: Model, word: np.ndarray, before: np.ndarray, first: np.ndarray)
     def mixed(p: np.ndarray, share: np.ndarray, kinds: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.where((kinds > 0) & (count > 0), share + DISCOUNT * kinds / np.maximum(count, 1) * p, p)
 
-    of, to, back = _pairs_of(before, word, pairs.width)
     share, kinds, number, place = pairs.find(of, to)
     p = mixed(p, share[back], kinds[back], count)
     seen = np.append(-1, number[back][:-1])  # the bigram before
     seen[first] = -1
     later = np.flatnonzero(seen >= 0)
-    code = place[back[later]]
-    of, to, back = _pairs_of(seen[later], np.where(code >= 0, code, triples.width - 1), triples.width)
-    share, kinds, *_ = triples.find(of, to)
-    each, at = np.unique(of, return_inverse=True)
-    p[later] = mixed(p[later], share[back], kinds[back], pairs.counts(each)[0][at][back])
+    if len(later):
+        second = back[later]
+        of, to, back = _pairs_of(back[later - 1], np.where(place[second] >= 0, second, len(place)))
+        context = number[of]
+        share, kinds, *_ = triples.find(context, np.append(place, triples.width - 1)[to])
+        begin, at = _runs(context)
+        p[later] = mixed(p[later], share[back], kinds[back], pairs.counts(context[begin])[0][at][back])
     return np.log10(p)
 
 
@@ -608,8 +655,8 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, word, before, first in _sequences(batches, m.words):
-            score = np.add.reduceat(_log10_p(m, word, before, first), first)
+        for b, word, first in _sequences(batches, m.words):
+            score = np.add.reduceat(_log10_p(m, word, first), first)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names[:4]), pa.array(np.full(b.num_rows, m.words.total)), b.column("base_score"), pa.array(score)], names)
 
     return told.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

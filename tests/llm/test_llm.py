@@ -526,6 +526,43 @@ def test_elias_fano():
             assert ((found >= 0) == np.isin(asked, x)).all() and (x[found[found >= 0]] == asked[found >= 0]).all()
 
 
+def test_elias_fano_of_whole_words():
+    """Low bits of any width, of 58 and more too, and high bits with long gaps."""
+    r = np.random.default_rng(90)
+    for n, top in ((1, 1 << 64), (2, 1 << 64), (9, 1 << 64), (60, 1 << 64), (3000, 1 << 64), (3000, 1 << 36), (3000, 40)):
+        x = np.sort(r.integers(0, top, n, np.uint64))
+        x[n // 2 :] = x[-1]
+        ef = ngram_lm.EliasFano.of(x)
+        at = r.permutation(n)
+        assert (ef.get(at) == x[at]).all()
+        at = at[at < n - 1]
+        assert all((a == b).all() for a, b in zip(ef.get2(at), (x[at], x[at + 1]), strict=True))
+        assert (x[ef.find(x)] == x).all() and (ef.find(x[x > 0] - np.uint64(1)) >= 0).tolist() == np.isin(x[x > 0] - np.uint64(1), x).tolist()
+
+
+def test_only_successors_need_no_search(spark, tmp_path, monkeypatch):
+    """Where a context has one successor, its code alone tells; the others are searched."""
+    keys = np.array([50 * c + (7 * c + 3) % 49 for c in range(0, 40, 2)] + [50 * 41 + 5, 50 * 41 + 9], np.uint64)
+    blob = ngram_lm._blobs(keys, np.arange(1, len(keys) + 1), np.zeros(len(keys), np.int64)).to_pylist()[0]
+    files = ngram_lm._written(spark.createDataFrame([tuple(blob.values())], ngram_lm._BLOBS), 50, str(tmp_path / "at"), "x", lambda of: np.full(len(of), 400))
+    level, searched, search = ngram_lm.Successors(50, files), [], ngram_lm.EliasFano.find
+    monkeypatch.setattr(ngram_lm.EliasFano, "find", lambda ef, x, *ends: (searched.append(len(x)), search(ef, x, *ends))[1])
+    asked = np.arange(43 * 50)
+    share, kinds, number, place = level.find(asked // 50, asked % 50)
+    assert sum(searched) == 50  # context 41 alone
+    assert (np.flatnonzero(number >= 0) == keys).all() and (number[keys] == np.arange(len(keys))).all()
+    assert place[keys].tolist() == [0] * 21 + [1] and kinds[keys].tolist() == [1] * 20 + [2, 2]
+    assert np.allclose(share[keys], (np.arange(1, len(keys) + 1) - 0.75) / 400, rtol=3e-4) and not share[number < 0].any()
+
+
+def test_distinct_keys():
+    r = np.random.default_rng(91)
+    for n, top in ((0, 9), (1, 9), (1, 1 << 64), (1000, 300), (1000, 1 << 54), (1000, 1 << 55), (1000, 1 << 64)):
+        x = np.repeat(r.integers(0, top, n, np.uint64), 2)
+        for got, want in zip(ngram_lm._distinct(x), np.unique(x, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 # --- 10
 
 
